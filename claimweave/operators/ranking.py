@@ -13,10 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
-    """First n rows of every key; the rank column counts from 1."""
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, pos: str = "pos") -> DataFrame:
+    """First n rows of every key; the position column counts from 1."""
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+    return df.withColumn(pos, F.row_number().over(w)).filter(F.col(pos) <= n).withColumn(pos, F.col(pos).cast("long"))
 
 
 def sequence_numbers(
