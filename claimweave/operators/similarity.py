@@ -16,6 +16,7 @@ holds a third of all rows costs one pass over it, not a square. Equal texts are
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -148,13 +149,15 @@ def leader_clusters(
     if short_text is not None:
         long = reps.filter(~F.col("short")).select("grp", "ord", F.explode_outer("all_tokens").alias("token"))
         index = index.unionByName(_block_index(simhash_of_tokens(long, ["grp", "ord"]), hamming_max))
-    index = cut(index)
+    # texts without any token are equal sets and share one key of their own
+    bare = reps.filter("n_tok = 0").select(
+        "grp", F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("bucket"), "ord", "short", "n_tok", F.lit(0).cast("long").alias("simhash")
+    )
+    index = cut(index.unionByName(bare))
     tokens = by_sets.select("ord", "tokens")
 
-    # two texts without any token are equal sets: the short one and the long one, if both exist
-    bare = reps.filter("n_tok = 0").groupBy("grp").agg(F.min("ord").alias("a"), F.max("ord").alias("b"), F.count(F.lit(1)).alias("n"))
-    hits = [bare.filter("n > 1").select("a", "b")]
-    undecided = cut(index.select("ord").distinct().join(hits[0].select(F.col("b").alias("ord")), "ord", "left_anti"))
+    undecided = index.select("ord").distinct()
+    hits: list[DataFrame] = []
     while not undecided.isEmpty():
         live = index.join(undecided, "ord", "left_semi")
         heads = cut(top_per_key(live, _KEY, [F.col("ord")], pivots).drop("pos"))
@@ -169,13 +172,11 @@ def leader_clusters(
         taken = leaders.unionByName(found.select(F.col("b").alias("ord"))).distinct()
         undecided = cut(undecided.join(taken, "ord", "left_anti"))
 
-    joined = hits[0]
-    for h in hits[1:]:
-        joined = joined.unionByName(h)
-    lead = joined.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("leader"))
-    out = copies.join(lead, "rep", "left").withColumn("leader", F.coalesce("leader", "rep"))
-    return out.select(
-        *[F.col("grp").getField(g).alias(g) for g in groups], F.col("ord.id").alias(item), F.col("leader.id").alias("cluster")
+    if hits:
+        lead = reduce(DataFrame.unionByName, hits).groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("leader"))
+        copies = copies.join(lead, "rep", "left").withColumn("rep", F.coalesce("leader", "rep"))
+    return copies.select(
+        *[F.col("grp").getField(g).alias(g) for g in groups], F.col("ord.id").alias(item), F.col("rep.id").alias("cluster")
     )
 
 
