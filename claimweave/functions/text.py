@@ -83,10 +83,14 @@ def estimate_tokens(c: Column) -> Column:
 
 
 def sentence_with(c: Column, pattern: str) -> Column:
-    """Sentence holding the first match of the pattern, at most 200 characters, trimmed."""
-    body = f"[^{SENTENCE_END}]"
-    hit = F.regexp_extract(c, f"{body}*(?=(?:{pattern})){body}*[{SENTENCE_END}]?", 0)
-    return trim_space(F.substring(hit, 1, 200))
+    """Sentence holding the first match of the pattern, at most 200 characters, trimmed.
+
+    Grown outward from the match, so the text is read once whatever its length.
+    """
+    at = F.instr(c, F.regexp_extract(c, pattern, 0))
+    head = F.reverse(F.regexp_extract(F.reverse(F.substring(c, F.lit(1), at - 1)), f"^[^{SENTENCE_END}]*", 0))
+    tail = F.regexp_extract(F.substring(c, at, F.length(c)), f"^[^{SENTENCE_END}]*[{SENTENCE_END}]?", 0)
+    return trim_space(F.substring(F.concat(head, tail), 1, 200))
 
 
 def context_before(text: Column, start: Column, radius: int = 160) -> Column:
