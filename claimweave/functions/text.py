@@ -41,15 +41,25 @@ def trim_edges(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{EDGE_PUNCT}]+|[{EDGE_PUNCT}]+$", "")
 
 
+def has_han(c: Column) -> Column:
+    return c.rlike(f"[{HAN}]")
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
 def shingles(c: Column) -> Column:
     """Latin/digit runs followed by overlapping Han bigrams (a lone Han character is kept)."""
     norm = match_normalize(c)
-    han = F.regexp_replace(norm, f"[^{HAN}]", "")
+    han = F.regexp_replace(norm, f"[^{HAN}]+", "")
     # a zero-width look-ahead yields every overlapping pair in one linear pass
     pairs = F.when(F.length(han) == 1, F.array(han)).otherwise(
         F.regexp_extract_all(han, F.lit("(?=(..))"), F.lit(1))
     )
-    return F.concat(F.regexp_extract_all(norm, F.lit("[a-z0-9]+"), F.lit(0)), pairs)
+    return F.concat(
+        F.regexp_extract_all(norm, F.lit("[a-z0-9]+"), F.lit(0)), F.when(has_han(c), pairs).otherwise(_none())
+    )
 
 
 def search_terms(c: Column) -> Column:
@@ -58,7 +68,7 @@ def search_terms(c: Column) -> Column:
     words = F.regexp_extract_all(low, F.lit(rf"[\p{{L}}\p{{N}}&&[^{HAN}]]+"), F.lit(0))
     pairs = F.regexp_extract_all(low, F.lit(f"(?=([{HAN}]{{2}}))"), F.lit(1))
     lone = F.regexp_extract_all(low, F.lit(f"(?<![{HAN}])[{HAN}](?![{HAN}])"), F.lit(0))
-    return F.concat(words, pairs, lone)
+    return F.concat(words, F.when(has_han(c), F.concat(pairs, lone)).otherwise(_none()))
 
 
 def token_hash(c: Column) -> Column:
@@ -78,7 +88,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def estimate_tokens(c: Column) -> Column:
-    han = F.length(F.regexp_replace(c, f"[^{HAN}]", ""))
+    han = F.length(F.regexp_replace(c, f"[^{HAN}]+", ""))
     return (han + F.ceil((F.length(c) - han) / 4)).cast("long")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from claimweave.checkpoints import cut
 from claimweave.operators import pack as K, search as J
 from claimweave.plans.registry import BIND, Tables, query
 
@@ -85,7 +86,7 @@ def substring_rank(t: Tables) -> DataFrame:
 
 
 def hits(t: Tables) -> DataFrame:
-    kw = J.keyword_rank(t.text_claims, t.searches)
+    kw = cut(J.keyword_rank(t.text_claims, t.searches))
     lists = {"keyword": kw, "evidence": evidence_list(t), "substring": J.substring_rank(t.text_claims, t.searches, kw)}
     return J.rerank(J.fuse(lists), t.text_claims, NOW)
 
@@ -136,7 +137,7 @@ def answer_citations(t: Tables) -> DataFrame:
 # ---- packs
 
 BIND["pack_asks"] = """
-SELECT row_number() OVER (ORDER BY p_brand) AS request_id, p_brand AS project_id, 800 AS budget, CASE WHEN substr(p_brand, 8) = '1' THEN 'verified' ELSE 'likely' END AS min_band,
+SELECT CAST(row_number() OVER (ORDER BY p_brand) AS BIGINT) AS request_id, p_brand AS project_id, 800 AS budget, CASE WHEN substr(p_brand, 8) = '1' THEN 'verified' ELSE 'likely' END AS min_band,
        'economy' AS focus_topic, substr(p_brand, 7, 1) = '2' AS has_task FROM (SELECT DISTINCT p_brand FROM {part}) b
 """
 BIND["x_relevance"] = """
