@@ -23,6 +23,15 @@ _REF = re.compile(r"\{([a-z][a-z0-9_]*)\}")
 AS_OF = "2001-12-31 00:00:00"
 
 
+TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash texts over the cores when they sit in fewer splits than that; larger inputs are left as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -51,7 +60,8 @@ class Tables:
 
     def _open(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
         return self.sql(BIND[name])
 
     def sql(self, text: str) -> DataFrame:
