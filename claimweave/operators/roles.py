@@ -106,8 +106,8 @@ def dimension_of(topic: Column, text: Column) -> Column:
 def blocked_dimensions(claims: DataFrame) -> DataFrame:
     """(project, dimension) pairs closed by the project's own weaknesses."""
     mines = claims.filter(F.col("ad_role") == "landmine")
-    hit = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(d)) for d, p in BLOCKED_BY]))
-    return mines.select("project_id", F.explode(hit).alias("dimension")).distinct()
+    hit = F.array(*[F.when(F.col("text").rlike(p), F.lit(d)) for d, p in BLOCKED_BY])
+    return mines.select("project_id", F.explode_outer(hit).alias("dimension")).filter(F.col("dimension").isNotNull()).distinct()
 
 
 def hooks_for(dimension: Column, prefix: str = "") -> Column:
@@ -170,9 +170,8 @@ def angle_candidates(claims: DataFrame) -> DataFrame:
             F.concat(lit("源自口碑「"), shown, lit("」("), F.col("confidence_band"), lit(")")),
         ),
     )
-    return c.select("project_id", "claim_id", F.explode(F.array_compact(F.array(ammo, fact, praise))).alias("a")).select(
-        "project_id", "claim_id", "a.*"
-    )
+    out = c.select("project_id", "claim_id", F.explode_outer(F.array(ammo, fact, praise)).alias("a")).filter(F.col("a").isNotNull())
+    return out.select("project_id", "claim_id", "a.*")
 
 
 def strength_rank(c: Column) -> Column:

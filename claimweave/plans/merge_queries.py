@@ -47,14 +47,15 @@ SELECT o_orderkey AS claim_id, o_orderpriority AS project_id, o_orderdate AS cre
 """
 
 
+BIND["numbered_claims"] = "SELECT o_orderpriority AS project_id, o_custkey AS seq FROM {orders} WHERE o_orderstatus = 'F'"
+
+
 @query(
     "claim_seq",
-    "SELECT claim_id, project_id, row_number() OVER (PARTITION BY project_id ORDER BY created_at, claim_id) + coalesce((SELECT max(seq) FROM {stored_claims}), 0) AS seq FROM {new_claims}",
+    "SELECT claim_id, n.project_id, row_number() OVER (PARTITION BY n.project_id ORDER BY created_at, claim_id) + coalesce(top, 0) AS seq FROM {new_claims} n LEFT JOIN (SELECT project_id, max(seq) AS top FROM {numbered_claims} GROUP BY 1) k ON k.project_id = n.project_id",
 )
 def claim_seq(t: Tables) -> DataFrame:
-    top = t.stored_claims.agg(F.max("seq").alias("seq"))
-    seen = t.new_claims.select("project_id").distinct().withColumn("k", F.lit(1)).join(top.withColumn("k", F.lit(1)), "k")
-    return M.claim_sequence(t.new_claims, seen, bucket="month").select("claim_id", "project_id", "seq")
+    return M.claim_sequence(t.new_claims, t.numbered_claims, bucket="month").select("claim_id", "project_id", "seq")
 
 
 BIND["x_exact"] = f"""

@@ -218,20 +218,25 @@ def validate_claims(t: Tables) -> DataFrame:
 
 @query(
     "validate_themes",
-    """SELECT conv_id AS theme_id, CASE conv_id % 3 WHEN 0 THEN 'positive' ELSE 'negative' END AS sentiment, m AS n_matches, d AS n_dropped FROM (
- SELECT conv_id, count(*) FILTER (WHERE turn < 2 OR turn % 2 = 0) AS m, count(*) FILTER (WHERE NOT turn % 2 = 0) AS d FROM {conversations} GROUP BY conv_id) x WHERE conv_id % 3 < 2 AND m >= 2""",
+    """SELECT e.event_id AS theme_id, CASE e.event_id % 3 WHEN 0 THEN 'positive' ELSE 'negative' END AS sentiment,
+  count(c.conv_id) FILTER (WHERE c.turn IN (0, 1) OR c.turn = 2) AS n_matches, count(c.conv_id) FILTER (WHERE c.turn IN (1, 3)) AS n_dropped
+ FROM {events} e JOIN {conversations} c ON c.conv_id = e.event_id AND c.turn < 4 WHERE e.event_id % 3 < 2
+ GROUP BY e.event_id HAVING count(*) FILTER (WHERE c.turn IN (0, 1, 2)) >= 2""",
 )
 def validate_themes(t: Tables) -> DataFrame:
     c = F.col
-    rid = c("conv_id") * 1000 + c("turn")
-    reviews = t.conversations.select(rid.alias("review_id"), "text")
-    said = F.when(c("turn") % 2 == 0, c("text")).otherwise(F.lit("nobody wrote this line"))
-    themes = t.conversations.groupBy(c("conv_id").alias("theme_id")).agg(
-        F.collect_list(F.when(c("turn") < 2, rid)).alias("review_ids"),
-        F.collect_list(F.struct(rid.alias("review_id"), said.alias("quote"))).alias("examples"),
+    rid = lambda turn: c("event_id") * 1000 + F.lit(turn)
+    said = t.conversations.select((c("conv_id") * 1000 + c("turn")).alias("review_id"), "text")
+    openings = t.conversations.filter("turn = 0").select(c("conv_id").alias("event_id"), c("text").alias("t0"))
+    thirds = t.conversations.filter("turn = 2").select(c("conv_id").alias("event_id"), c("text").alias("t2"))
+    ex = lambda turn, quote: F.struct(rid(turn).alias("review_id"), quote.alias("quote"))
+    junk = F.lit("nobody wrote this line")
+    mood = F.when(c("event_id") % 3 == 0, "positive").when(c("event_id") % 3 == 1, "negative").otherwise("unsure")
+    themes = t.events.select("event_id").join(openings, "event_id").join(thirds, "event_id", "left").select(
+        c("event_id").alias("theme_id"), mood.alias("sentiment"), F.array(rid(0), rid(1)).alias("review_ids"),
+        F.array(ex(0, c("t0")), ex(1, junk), ex(2, F.replace(F.coalesce("t2", F.lit("gone")), F.lit(" "), F.lit("  "))), ex(3, junk)).alias("examples"),
     )
-    mood = F.when(c("theme_id") % 3 == 0, "positive").when(c("theme_id") % 3 == 1, "negative").otherwise("unsure")
-    return G.validate_themes(themes.withColumn("sentiment", mood), reviews).select("theme_id", "sentiment", "n_matches", "n_dropped")
+    return G.validate_themes(themes, said).select("theme_id", "sentiment", "n_matches", "n_dropped")
 
 
 @query(
