@@ -1,0 +1,41 @@
+"""Connected components of links, by alternating star steps; the number of rounds grows with the logarithm of the size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from claimweave.checkpoints import cut
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    """Every node's larger neighbours move to its smallest neighbour (or itself)."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours move to the smallest of them."""
+    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def _state(links: DataFrame) -> tuple[int, int]:
+    return tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node that has a link; root is the smallest node reachable. Links are (a, b), nulls and loops ignored."""
+    links = cut(links.select("a", "b").filter("a <> b").distinct())
+    before = None
+    while True:
+        links = cut(_small_star(_large_star(links)))
+        now = _state(links)
+        if now == before:
+            break
+        before = now
+    roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
