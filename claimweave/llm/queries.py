@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimweave.checkpoints import new_folder
-from claimweave.llm import jaccard_join, languages, packing, token_store
+from claimweave.llm import jaccard_join, languages, packing, secrets, token_store
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -26,6 +26,44 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _secret_spans(kind: str, place: int, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: the parts between matches and the matches before give each start."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    measured = f"regexp_extract_all(t, {p}, {group})"
+    begin = "list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)"
+    spans = f"list_transform(range(1, len(hits) + 1), lambda i: {{'s': ({begin})::bigint, 'n': length(hits[i])::bigint, 'm': length(sized[i])}})"
+    return f"""select doc_id, '{kind}' as kind, {place} as place, s.s as s, s.s + s.n as e from (
+        select doc_id, unnest({spans}) as s from (select doc_id, string_split_regex(t, {p}) as parts, regexp_extract_all(t, {p}, 0) as hits, {measured} as sized from texts) where len(hits) > 0) where s.m >= {least}"""
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+#: (kind, whole pattern, group that is measured, its least length), as the rules have them.
+_SECRET_SQL = [
+    ("assign", f"({_either_case('password|passwd|secret|token|api_?key')})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]{16,}", 0, 16),
+    ("github", "gh[opsru]_[A-Za-z0-9]+", 0, 40),
+    ("slack", "xox[abeprs]-[A-Za-z0-9-]+", 0, 15),
+    ("stripe", "[rs]k_(live|test)_[A-Za-z0-9]+", 0, 24),
+    ("google", "AIza[A-Za-z0-9_-]+", 0, 39),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 33),
+    ("key_block", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 0, 0),
+]
+CHECKS["op3_secrets"] = f"""
+with texts as (select row_number() over () as doc_row, doc_id, coalesce(text, '') as t from documents),
+spans as ({" union all ".join(_secret_spans(k, i, p, g, n) for i, (k, p, g, n) in enumerate(_SECRET_SQL))}),
+told as (select doc_id, string_agg(kind || ':' || s || ':' || e, ',' order by s, place) as spans,
+    coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, place) filter (where place < 3), '') as base,
+    count(*) filter (where place = 0) as n_assign, count(*) filter (where place = 1) as n_access, count(*) filter (where place = 2) as n_hex
+    from spans group by doc_id)
+select texts.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+    sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join told using (doc_id)"""
+
+
 @query
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-store")
@@ -38,11 +76,54 @@ def op2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def _secret_spans(kind: str, place: int, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: the parts between matches and the matches before give each start."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    measured = f"regexp_extract_all(t, {p}, {group})"
+    begin = "list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)"
+    spans = f"list_transform(range(1, len(hits) + 1), lambda i: {{'s': ({begin})::bigint, 'n': length(hits[i])::bigint, 'm': length(sized[i])}})"
+    return f"""select doc_id, '{kind}' as kind, {place} as place, s.s as s, s.s + s.n as e from (
+        select doc_id, unnest({spans}) as s from (select doc_id, string_split_regex(t, {p}) as parts, regexp_extract_all(t, {p}, 0) as hits, {measured} as sized from texts) where len(hits) > 0) where s.m >= {least}"""
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+#: (kind, whole pattern, group that is measured, its least length), as the rules have them.
+_SECRET_SQL = [
+    ("assign", f"({_either_case('password|passwd|secret|token|api_?key')})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]{16,}", 0, 16),
+    ("github", "gh[opsru]_[A-Za-z0-9]+", 0, 40),
+    ("slack", "xox[abeprs]-[A-Za-z0-9-]+", 0, 15),
+    ("stripe", "[rs]k_(live|test)_[A-Za-z0-9]+", 0, 24),
+    ("google", "AIza[A-Za-z0-9_-]+", 0, 39),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 33),
+    ("key_block", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 0, 0),
+]
+CHECKS["op3_secrets"] = f"""
+with texts as (select row_number() over () as doc_row, doc_id, coalesce(text, '') as t from documents),
+spans as ({" union all ".join(_secret_spans(k, i, p, g, n) for i, (k, p, g, n) in enumerate(_SECRET_SQL))}),
+told as (select doc_id, string_agg(kind || ':' || s || ':' || e, ',' order by s, place) as spans,
+    coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, place) filter (where place < 3), '') as base,
+    count(*) filter (where place = 0) as n_assign, count(*) filter (where place = 1) as n_access, count(*) filter (where place = 2) as n_hex
+    from spans group by doc_id)
+select texts.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+    sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join told using (doc_id)"""
+
+
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
