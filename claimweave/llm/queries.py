@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimweave.checkpoints import new_folder
-from claimweave.llm import jaccard_join, languages, packing, secrets, token_store
+from claimweave.llm import jaccard_join, languages, packing, secrets, token_store, toxicity
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -127,3 +127,8 @@ from texts left join told using (doc_id)"""
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
