@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimweave.checkpoints import new_folder
-from claimweave.llm import jaccard_join, languages, packing, secrets, token_store, toxicity
+from claimweave.llm import exact_search, jaccard_join, languages, packing, permutation_index, secrets, token_store, toxicity
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -129,6 +129,28 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_search.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+CHECKS["op6_exact_search"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e)::bigint as score
+    from v as q join v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 50 = 0)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 5"""
+
+
+@query
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, path = table(spark, sf_dir, "embeddings"), new_folder(spark, "permutation-index")
+    permutation_index.build(vectors, path)
+    return permutation_index.search(spark, path, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
