@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimweave.checkpoints import new_folder
-from claimweave.llm import exact_search, jaccard_join, languages, packing, permutation_index, secrets, token_store, toxicity
+from claimweave.llm import exact_search, jaccard_join, languages, mixing, packing, permutation_index, secrets, token_store, toxicity, url_filters
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -124,11 +124,27 @@ select texts.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as
 from texts left join told using (doc_id)"""
 
 
+@query
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("bound")
+
+
+CHECKS["op9_url_filters"] = url_filters.sql()
+
+
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+CHECKS["op5_mixing"] = mixing.sql()
+
+
 @query
 def op6_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
