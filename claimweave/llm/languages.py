@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimweave.llm.batches import text_slices, texts_of
 
@@ -162,25 +163,26 @@ def fit(labelled: DataFrame, sample_rows: int = 4000) -> Model:
     return Model.fit(x, table.column("lang").to_pylist())
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of the rows, with lang_pred and score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # one weight vector a language pair
-    fields = docs.select(*keep).schema
+def predict(docs: DataFrame, model: Model, keep: list[str], named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of the rows, with the language and its score under the names given."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # one weight vector a language pair
     names = [f"c{i}" for i in range(len(keep))]
+    inner = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), *([] if "text" in keep else [F.col("text").alias("text")]))
+    text = names[keep.index("text")] if "text" in keep else "text"
 
     def run(batches):
-        for batch in _slices(batches):
-            texts = texts_of(batch)
-            languages, scores = shared.value.predict(features(texts))
-            lettered = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-            languages[~lettered], scores[~lettered] = UNDECIDED, 0.0
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(languages, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
-
-    inner = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields, strict=True))
-    found = inner.mapInArrow(run, f"{schema}, lang_pred string, score double")
-    return found.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "lang_pred", "score")
+        for whole in text_slices(batches, text):
+            for a in range(0, whole.num_rows, SLICE_ROWS):
+                part = whole.slice(a, SLICE_ROWS)
+                texts = texts_of(part, text)
+                languages, scores = shared.value.predict(features(texts))
+                lettered = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
+                languages[~lettered], scores[~lettered] = UNDECIDED, 0.0
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(languages, pa.string()), pa.array(scores)], names=[*names, "found", "sure"])
+
+    schema = T.StructType([*inner.select(*names).schema, T.StructField("found", T.StringType()), T.StructField("sure", T.DoubleType())])
+    out = inner.mapInArrow(run, schema)
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), F.col("found").alias(named[0]), F.col("sure").alias(named[1]))
 
 
 def remainder(modulus: int):

@@ -44,10 +44,10 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, draw): words of each text, and a hash of the id that orders the stream."""
+    """(doc_id, source, size, draw, digest): words of each text, a hash of the id that orders the stream, a hash of the text."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
     draw = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), draw.alias("draw"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), draw.alias("draw"), F.xxhash64(F.col("text").cast("string")).alias("digest"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -108,11 +108,11 @@ def streams(sized: DataFrame, planned: DataFrame) -> DataFrame:
     known = before.join(planned.select("source", "sid", "blocks", "source_size", "target"), before["source"].eqNullSafe(planned["source"]), "left")
     known = known.select(before["source"].alias("s"), F.col("bucket").alias("b"), "before", "sid", "blocks", "source_size", "target")
     placed = rows.join(known, rows["source"].eqNullSafe(known["s"]) & (rows["bucket"] == known["b"]))
-    return placed.select("doc_id", "source", "size", "sid", "blocks", "source_size", "target", (F.col("before") + F.col("inner")).alias("at"))
+    return placed.select("doc_id", "digest", "source", "size", "sid", "blocks", "source_size", "target", (F.col("before") + F.col("inner")).alias("at"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, at): how many words of each document the mix takes, repeats counted."""
+    """(doc_id, digest, source, size, source_size, target, taken): how many words of each document the mix takes, repeats counted."""
     sized = _stored(sizes(docs), "sizes")
     planned = _stored(plan(targets(sized)), "plan")
     times = schedule(planned).groupBy("sid", "block").agg(F.count("*").alias("times"))
@@ -123,11 +123,21 @@ def mix(docs: DataFrame) -> DataFrame:
     begins, ends = F.expr("block * source_size div blocks"), F.expr("(block + 1) * source_size div blocks")
     shared = F.least(F.col("at") + F.col("size"), ends) - F.greatest(F.col("at"), begins)
     taken = spread.withColumn("shared", shared).join(times, ["sid", "block"]).groupBy("sid", "at").agg(F.sum(F.col("shared") * F.col("times")).alias("taken"))
-    whole = placed.filter("size > 0").join(taken, ["sid", "at"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
-    none = placed.filter("size = 0").select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.lit(0).cast("long").alias("taken"))
+    whole = placed.filter("size > 0").join(taken, ["sid", "at"], "left").select("doc_id", "digest", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    none = placed.filter("size = 0").select("doc_id", "digest", "source", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.lit(0).cast("long").alias("taken"))
     return whole.unionByName(none)
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """The rows, each as often as the mix takes its words, to the nearest whole copy (none if less than half)."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id_key")]
+    taken = mix(docs).filter("size > 0").groupBy(*key, "digest").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies"))
+    named = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, named, strict=True)), *key, F.xxhash64(F.col("text").cast("string")).alias("digest"))
+    repeated = rows.join(taken.filter("copies > 0"), ["id_key", "digest"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, named, strict=True)))
+
+
 def sql(documents: str = "documents") -> str:
     """The same in DuckDB SQL."""
     blocks = f"least(greatest(ceil(source_size / {BLOCK_WORDS}), least(source_size, {FINE})), {MANY})::bigint"

@@ -251,6 +251,24 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows with every found secret replaced by its kind in angle brackets; overlapping ones as one, named by the first."""
+
+    def run(batches):
+        for batch in text_slices(batches):
+            out = []
+            for text in batch.column("text").to_pylist():
+                data, parts, done = (text or "").encode(), [], 0
+                for a, r, b in find(data, rules):
+                    if a >= done:
+                        parts += [data[done:a], f"<{rules[r].kind}>".encode()]
+                    done = max(done, b)
+                out.append(text if not parts else (b"".join(parts) + data[done:]).decode())
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, the hash of their spans, and all spans as text."""
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))
