@@ -7,7 +7,7 @@
    threshold are compared by bitmap: the bits in which two parity bitmaps differ bound the number of
    differing shingles from below, so the overlap from above. Of the pairs that pass, a tile names a
    spanning forest; copies of one text thus give a link each, not all their pairs.
-4. Named pairs are decided by intersecting their exact sorted sets. In tiles whose classes then still
+4. Named pairs that also pass a wider bitmap are decided by intersecting their exact sorted sets. In tiles whose classes then still
    belong to several components, all remaining pairs that pass the bitmap and join two components are
    decided as well. No pair that could join two components stays undecided, so components are exact.
 
@@ -33,9 +33,13 @@ BUCKET_BITS = 20
 CHUNKS = 64
 #: 64-bit words of a parity bitmap.
 BITMAP_WORDS = 3
+#: Bits of the wider bitmap that each class has once.
+WIDE_BITS = 2048
+#: Bits of the constant-size filter that keeps texts nobody asked for out of a shuffle.
+FILTER_BITS = 1 << 23
 #: Stands for a null id in keys.
 NULL_ID = -(1 << 63)
-PROFILE = "doc_id long, digest long, n int, cls long, prefix binary, b0 long, b1 long, b2 long"
+PROFILE = "doc_id long, digest long, n int, cls long, prefix binary, wide binary, b0 long, b1 long, b2 long"
 MEMBER = "tile long, n int, cls long, b0 long, b1 long, b2 long"
 STAR = "tile long, leader long, others binary, members binary"
 
@@ -65,9 +69,9 @@ def _levels(docs: DataFrame, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(by.get(i, bytes((1 << BUCKET_BITS) // CHUNKS)) for i in range(CHUNKS)), dtype=np.uint8)
 
 
-def _parity(hashes: np.ndarray) -> list[int]:
-    bits = np.bincount((mix(hashes) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+def _parity(hashes: np.ndarray, bits: int) -> bytes:
+    """Which buckets hold an odd number of the hashes."""
+    return np.packbits((np.bincount((mix(hashes) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def _profiles(docs: DataFrame, size: int, percent: int, levels) -> DataFrame:
@@ -77,16 +81,16 @@ def _profiles(docs: DataFrame, size: int, percent: int, levels) -> DataFrame:
             rows = []
             for doc_id, digest, x in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), shingle_sets(texts_of(batch), size), strict=True):
                 if not len(x):
-                    rows.append((doc_id, digest, 0, 0, b"", *[0] * BITMAP_WORDS))
+                    rows.append((doc_id, digest, 0, 0, b"", b"", *[0] * BITMAP_WORDS))
                     continue
                 n = len(x)
                 order = np.argsort(frequent[(x >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], kind="stable")
                 kept = x[order[: n - -(-percent * n // 100) + 1]]
                 whole = int(mix(np.array([np.bitwise_xor.reduce(mix(x)), np.add.reduce(x), n], dtype=np.uint64)).sum().astype(np.int64))
-                rows.append((doc_id, digest, n, whole, kept.tobytes(), *_parity(x)))
+                rows.append((doc_id, digest, n, whole, kept.tobytes(), _parity(x, WIDE_BITS), *np.frombuffer(_parity(x, 64 * BITMAP_WORDS), dtype=np.int64).tolist()))
             columns = zip(*rows, strict=True)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * BITMAP_WORDS)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "digest", "n", "cls", "prefix", "b0", "b1", "b2"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * BITMAP_WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "digest", "n", "cls", "prefix", "wide", "b0", "b1", "b2"])
 
     return docs.mapInArrow(profile, PROFILE)
 
@@ -218,9 +222,35 @@ def _rest_pairs(percent: int):
     return run
 
 
-def _decide(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def _asked_filter(keys: DataFrame) -> np.ndarray:
+    """Bits of the keys (long column ``key``) in a table of constant size."""
+
+    def bits(batches):
+        table = np.zeros(FILTER_BITS, dtype=bool)
+        for batch in batches:
+            table[batch.column("key").to_numpy() & (FILTER_BITS - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS)), pa.array([np.packbits(x).tobytes() for x in np.split(table, CHUNKS)])], names=["chunk", "bits"])
+
+    def either(table):
+        found = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in table.column("bits").to_pylist()])
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "bits": pa.array([found.tobytes()])})
+
+    rows = keys.mapInArrow(bits, "chunk long, bits binary").groupBy("chunk").applyInArrow(either, "chunk long, bits binary").collect()  # always CHUNKS small rows
+    by = {r["chunk"]: r["bits"] for r in rows}
+    packed = b"".join(by.get(i, bytes(FILTER_BITS // 8 // CHUNKS)) for i in range(CHUNKS))
+    return np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).view(bool)
+
+
+def _decide(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, stored) -> DataFrame:
     """Those pairs (a, b) whose exact sets are similar."""
 
+    def wide_pass(batches):
+        for batch in batches:
+            n = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, WIDE_BITS // 64) for c in ("wide_a", "wide_b")]
+            overlap = (n - np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)) // 2
+            yield batch.select(["a", "b"]).filter(pa.array(100 * overlap >= percent * (n - overlap)))
+
     def sets(batches):
         for batch in text_slices(batches):
             found = shingle_sets(texts_of(batch), size)
@@ -235,16 +265,29 @@ def _decide(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pe
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def side(name: str) -> DataFrame:
+        return classes.select(F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), F.col("wide").alias(f"wide_{name}"))
+
+    pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(wide_pass, "a long, b long"), "passed")
     asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    sources = classes.join(asked, "cls").select("cls", "source.id_key", "source.digest")
-    texts = docs.withColumn("id_key", F.coalesce("doc_id", F.lit(NULL_ID))).join(sources, ["id_key", "digest"]).select("cls", "text")
-    exact = texts.mapInArrow(sets, "cls long, set binary").dropDuplicates(["cls"])  # several rows may share id and text
+    sources = stored(classes.join(asked, "cls").select("cls", "source.id_key", "source.digest"), "sources")
+    key = F.xxhash64("id_key", "digest")
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(_asked_filter(sources.select(key.alias("key")))).tobytes())  # FILTER_BITS / 8 bytes
+
+    def wanted(batches):
+        table = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(table[batch.column("key").to_numpy() & (FILTER_BITS - 1)]))
+
+    keyed = docs.withColumn("id_key", F.coalesce("doc_id", F.lit(NULL_ID))).select("id_key", "digest", key.alias("key"), "text")
+    near = keyed.mapInArrow(wanted, keyed.schema).drop("key").dropDuplicates(["id_key", "digest"])  # repeated rows count once
+    exact = stored(near.join(sources, ["id_key", "digest"]).select("cls", "text").mapInArrow(sets, "cls long, set binary"), "sets")
     joined = pairs.join(exact.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").join(exact.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(similar, "a long, b long")
 
 
-def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id): sets of ``size``-word shingles, linked from ``percent`` % similarity on."""
+def members(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """One row a document: (doc_id, digest, n, root, component_id); root is null for texts without words."""
     spark = docs.sparkSession
 
     def stored(df: DataFrame, name: str) -> DataFrame:
@@ -257,14 +300,14 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     profiles = stored(_profiles(docs, size, percent, levels), "profiles")
     filled = profiles.filter("n > 0")
     source = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id_key"), "digest")).alias("source")
-    classes = stored(filled.groupBy("n", "cls").agg(F.min("doc_id").alias("first_id"), source, *(F.first(c).alias(c) for c in ("prefix", "b0", "b1", "b2"))), "classes")
-    ids = classes.select("cls", "first_id", "source")
+    classes = stored(filled.groupBy("n", "cls").agg(F.min("doc_id").alias("first_id"), source, *(F.first(c).alias(c) for c in ("prefix", "wide", "b0", "b1", "b2"))), "classes")
+    ids = classes.select("cls", "n", "wide", "first_id", "source")
     postings = classes.select("n", "cls", "prefix", "b0", "b1", "b2").mapInArrow(_postings, MEMBER)
     stars = stored(postings.repartition("tile").sortWithinPartitions("tile").mapInArrow(_name_stars(percent), STAR), "stars")
     led = stars.select("leader", "others").repartition("leader").sortWithinPartitions("leader").mapInArrow(_star_pairs, "a long, b long")
     pairs = stored(led, "pairs")
     either = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stored(_decide(either, docs, ids, size, percent), "links")
+    links = stored(_decide(either, docs, ids, size, percent, stored), "links")
     roots = stored(components(links), "roots")
     # Tiles all of whose named pairs are links lie in one component; only the others can hide a link.
     failed = pairs.join(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti").select(F.col("a").alias("leader")).distinct()
@@ -274,12 +317,31 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     rest = rooted.repartition("tile").sortWithinPartitions("tile").mapInArrow(_rest_pairs(percent), "a long, b long")
     rest = stored(rest.distinct().join(either, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = stored(_decide(rest, docs, ids, size, percent), "more")
+        more = stored(_decide(rest, docs, ids, size, percent, stored), "more")
         if not more.isEmpty():
             roots = stored(components(links.unionByName(more)), "roots")
     placed = ids.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    homes = placed.join(least, "root").select("cls", "component_id")
-    rows = profiles.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cls")
-    linked = rows.filter("n_shingles > 0").join(homes, "cls").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    rows = profiles.select("doc_id", "digest", "n", "cls")
+    linked = rows.filter("n > 0").join(placed.join(least, "root").select("cls", "root", "component_id"), "cls").drop("cls")
+    alone = rows.filter("n = 0").select("doc_id", "digest", "n", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
+
+
+def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id): sets of ``size``-word shingles, linked from ``percent`` % similarity on."""
+    return members(docs, size, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of one document of each component (the smallest id; of null ids, the smallest hash of the text), and all wordless ones."""
+    found = members(docs, size, percent).withColumn("id_key", F.coalesce("doc_id", F.lit(NULL_ID)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "id_key", "digest")).alias("first")
+    chosen = found.filter("n > 0").groupBy("root").agg(first).select("first.id_key", "first.digest")
+    wordless = found.filter("n = 0").select("id_key", "digest").distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keys = ["id_key", "digest"]
+    named = [f"c{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, named, strict=True)), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id_key"), F.xxhash64(text).alias("digest"))
+    kept = keyed.join(chosen, keys, "left_semi").dropDuplicates(keys).unionByName(keyed.join(wordless, keys, "left_semi"))
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, named, strict=True)))
