@@ -49,7 +49,9 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np
         rank = _frequent((sequence[:-1] << 32) | sequence[1:], min_count)
         none = len(rank)
         chosen = rank < none
-        chosen[1:] &= rank[1:] < rank[:-1]  # of overlapping pairs the better, of equal ones the left
+        same = np.concatenate([[False], rank[1:] == rank[:-1]])
+        run = np.arange(none) - np.maximum.accumulate(np.where(same, 0, np.arange(none)))
+        chosen &= np.where(same, run % 2 == 0, np.concatenate([[True], rank[:-1] > rank[1:]]))  # of overlapping pairs the better, of a run every other
         chosen[:-1] &= rank[:-1] <= rank[1:]
         at = np.flatnonzero(chosen)
         used = np.bincount(rank[at]) if len(at) else np.zeros(0, dtype=np.int64)
