@@ -125,8 +125,8 @@ def theme_topic(aspect: Column) -> Column:
 
 
 def script_lang(c: Column) -> Column:
-    """zh when any Han character shows in the first 500 characters, else en."""
-    return F.when(F.substring(c, 1, 500).rlike(r"[一-鿿]"), F.lit("zh")).otherwise(F.lit("en"))
+    """zh when any Han character shows, else en."""
+    return F.when(c.rlike(r"[一-鿿]"), F.lit("zh")).otherwise(F.lit("en"))
 
 
 def literal_pattern(c: Column) -> Column:

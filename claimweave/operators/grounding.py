@@ -78,7 +78,7 @@ def insert_evidence(proposed: DataFrame, snapshots: DataFrame) -> DataFrame:
     return best.select("snapshot_id", "quote_hash", "b.*")
 
 
-def validate_claims(proposals: DataFrame, snapshots: DataFrame, max_quotes: int = 3, max_entities: int = 6) -> DataFrame:
+def validate_claims(proposals: DataFrame, snapshots: DataFrame, max_quotes: int | None = None, max_entities: int | None = None) -> DataFrame:
     """Check model-proposed claims; ``kept`` is false where no quote is grounded.
 
     ``proposals``: proposal_id, snapshot_id, text, claim_type, topic, quotes, entities, confidence_self.
@@ -94,6 +94,9 @@ def validate_claims(proposals: DataFrame, snapshots: DataFrame, max_quotes: int
             F.contains(F.col("_source"), t) | ((F.length(nq) >= MIN_NORMALIZED) & F.contains(F.col("_loose"), nq))
         )
 
+    def first(items, most: int | None) -> Column:
+        return F.col(items) if most is None and isinstance(items, str) else items if most is None else F.slice(items, 1, most)
+
     known = ["official_fact", "system_inference"]
     usable = F.length("text") >= 6
     j = j.withColumn("quotes", F.filter("quotes", held))
@@ -102,15 +105,15 @@ def validate_claims(proposals: DataFrame, snapshots: DataFrame, max_quotes: int
         trim_space(F.col("text")).alias("text"),
         F.when(F.col("claim_type").isin(known), F.col("claim_type")).otherwise("official_fact").alias("claim_type"),
         fold_topic(F.coalesce("topic", F.lit("other"))).alias("topic"),
-        F.slice("quotes", 1, max_quotes).alias("quotes"),
-        F.slice(F.coalesce("entities", F.array().cast("array<string>")), 1, max_entities).alias("entities"),
+        first("quotes", max_quotes).alias("quotes"),
+        first(F.coalesce("entities", F.array().cast("array<string>")), max_entities).alias("entities"),
         F.coalesce("confidence_self", F.lit(0.7)).alias("confidence_self"),
         (usable & (F.size("quotes") > 0)).alias("kept"),
     )
 
 
 def theme_matches(themes: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Reviews that carry each proposed theme: grounded example quotes, else a named review's opening.
+    """Reviews that carry each proposed theme: grounded example quotes, else a named review's text.
 
     ``themes``: theme_id, review_ids, examples (array of review_id, quote). One row per theme and
     review; ``ok`` marks matches, ungrounded examples stay with ``ok`` false so they can be counted.
@@ -120,7 +123,7 @@ def theme_matches(themes: DataFrame, reviews: DataFrame) -> DataFrame:
         "theme_id", "review_id", F.lit(None).cast("string").alias("quote"), F.lit(1).alias("named")
     )
     j = ex.unionByName(ids).join(reviews.select("review_id", "text"), "review_id")
-    j = j.withColumn("quote", F.when(F.col("named") == 1, F.substring("text", 1, 200)).otherwise(F.col("quote")))
+    j = j.withColumn("quote", F.when(F.col("named") == 1, F.col("text")).otherwise(F.col("quote")))
     j = j.withColumn("ok", (F.col("named") == 1) | is_grounded(F.col("text"), F.col("quote"))).drop("text")
     # an example quote outranks the bare mention of the same review
     return j.groupBy("theme_id", "review_id").agg(

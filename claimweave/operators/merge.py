@@ -41,7 +41,7 @@ def content_hash(text: Column) -> Column:
     return F.sha2(normalize_text(text), 256)
 
 
-def snapshot_changes(fetched: DataFrame, existing: DataFrame | None = None, bucket: str = "day") -> DataFrame:
+def snapshot_changes(fetched: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Fetches whose content differs from the document's previous one; A, B, A gives three.
 
     ``fetched``: document_id, fetched_at, fetch_id, text. ``existing``: the stored snapshots with
@@ -53,13 +53,13 @@ def snapshot_changes(fetched: DataFrame, existing: DataFrame | None = None, buck
         newest = existing.groupBy("document_id").agg(F.max(F.struct("fetched_at", "snapshot_id", "content_hash")).alias("s"))
         known = newest.select("document_id", "s.fetched_at", F.lit("").alias("fetch_id"), "s.content_hash", F.lit(False).alias("_new"))
         slim = slim.unionByName(known)
-    stepped = previous_row(slim, ["document_id"], "fetched_at", "fetch_id", "content_hash", "previous_hash", bucket)
+    stepped = previous_row(slim, ["document_id"], "fetched_at", "fetch_id", "content_hash", "previous_hash")
     return stepped.filter(F.col("_new") & ~F.col("content_hash").eqNullSafe(F.col("previous_hash"))).drop("_new")
 
 
-def claim_sequence(claims: DataFrame, existing: DataFrame | None = None, ts: str = "created_at", bucket: str = "day") -> DataFrame:
+def claim_sequence(claims: DataFrame, existing: DataFrame | None = None, ts: str = "created_at") -> DataFrame:
     """Per-project display number, continuing after the highest one already given."""
-    out = sequence_numbers(claims, ["project_id"], ts, "claim_id", "seq", bucket)
+    out = sequence_numbers(claims, ["project_id"], ts, "claim_id", "seq")
     if existing is None:
         return out
     top = existing.groupBy("project_id").agg(F.max("seq").alias("_top"))
@@ -104,16 +104,22 @@ def merge_claims(claims: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def supersede(claims: DataFrame, succession: DataFrame, as_of: str) -> DataFrame:
-    """Close superseded claims and prefer the winners. ``succession``: (claim_id, superseded_by)."""
+    """Close superseded claims and prefer the winners; what earlier successions closed stays closed.
+
+    ``succession``: (claim_id, superseded_by). Columns superseded_by and valid_until are added if missing.
+    """
+    for name, kind in (("superseded_by", "long"), ("valid_until", "timestamp")):
+        if name not in claims.columns:
+            claims = claims.withColumn(name, F.lit(None).cast(kind))
     lost = succession.groupBy("claim_id").agg(F.max("superseded_by").alias("_winner"))
     won = succession.select(F.col("superseded_by").alias("claim_id")).distinct().withColumn("_won", F.lit(True))
-    j = claims.drop("superseded_by").join(lost, "claim_id", "left").join(won, "claim_id", "left")
+    j = claims.join(lost, "claim_id", "left").join(won, "claim_id", "left")
     gone = F.col("_winner").isNotNull()
     return j.withColumns(
         {
             "rank": F.when(gone, "deprecated").when(F.col("_won"), "preferred").otherwise(F.col("rank")),
-            "superseded_by": F.col("_winner"),
-            "valid_until": F.when(gone, F.lit(as_of).cast("timestamp")),
+            "superseded_by": F.coalesce("_winner", "superseded_by"),
+            "valid_until": F.when(gone, F.lit(as_of).cast("timestamp")).otherwise(F.col("valid_until")),
         }
     ).drop("_winner", "_won")
 
@@ -146,10 +152,12 @@ def apply_decisions(claims: DataFrame, queue: DataFrame, decisions: DataFrame) -
     )
     out = claims.join(last, "claim_id", "left").withColumn("review_state", F.coalesce(state, F.col("review_state"))).drop("action")
     keyed = last.select(F.lit("claim").alias("item_type"), F.col("claim_id").cast("string").alias("item_id"), "action")
+    if "decision" not in queue.columns:
+        queue = queue.withColumn("decision", F.lit(None).cast("string"))
     q = queue.join(keyed, ["item_type", "item_id"], "left")
     closed = (F.col("state") == "todo") & F.col("action").isNotNull()
     q = q.withColumns(
-        {"decision": F.when(closed, F.col("action")), "state": F.when(closed, "done").otherwise(F.col("state"))}
+        {"decision": F.when(closed, F.col("action")).otherwise(F.col("decision")), "state": F.when(closed, "done").otherwise(F.col("state"))}
     ).drop("action")
     return out, q
 
@@ -175,11 +183,27 @@ def upsert_entities(batch: DataFrame, existing: DataFrame | None = None) -> tupl
     return new.withColumn("entity_id", ident), links
 
 
-def repeat_runs(runs: DataFrame, minutes: int = 30, bucket: str = "day") -> DataFrame:
-    """Runs started within some minutes of the previous run of the same project and goal."""
-    out = previous_row(runs, ["project_id", "goal"], "started_at", "run_id", "started_at", "previous_at", bucket)
-    gap = F.unix_micros(F.col("started_at").cast("timestamp")) - F.unix_micros(F.col("previous_at").cast("timestamp"))
-    return out.filter(gap <= minutes * 60_000_000)
+def repeat_runs(runs: DataFrame, minutes: int = 30, finished: DataFrame | None = None) -> DataFrame:
+    """Runs started within some minutes after a run of the same project and goal was done.
+
+    Finishing times are reduced to the first and last of each slot as wide as the guard: a run is a repeat
+    if its own slot has an earlier one, or the slot before has one that is young enough. ``finished``:
+    further runs that count as done (project_id, goal, finished_at).
+    """
+    width = minutes * 60_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    done = runs.filter((F.col("status") == "done") & F.col("finished_at").isNotNull()).select("project_id", "goal", micros("finished_at").alias("at"))
+    if finished is not None:
+        done = done.unionByName(finished.select("project_id", "goal", micros("finished_at").alias("at")))
+    slots = done.groupBy("project_id", "goal", F.floor(F.col("at") / width).alias("slot")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    asked = runs.withColumn("_at", micros("started_at"))
+    here = slots.select("project_id", "goal", F.col("slot").alias("_slot"), F.col("first").alias("_first"))
+    before = slots.select("project_id", "goal", (F.col("slot") + 1).alias("_slot"), F.col("last").alias("_last"))
+    j = asked.withColumn("_slot", F.floor(F.col("_at") / width))
+    for side in (here, before):
+        j = j.join(side, ["project_id", "goal", "_slot"], "left")
+    hit = (F.col("_first") <= F.col("_at")) | (F.col("_last") >= F.col("_at") - width)
+    return j.filter(hit).select(*runs.columns)
 
 
 def delete_runs(runs: DataFrame, events: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -119,7 +119,7 @@ def hooks_for(dimension: Column, prefix: str = "") -> Column:
 
 def genre_hooks(text: Column) -> Column:
     label = F.regexp_extract(text, r"品类为\s*(.+)$", 1)
-    parts = F.slice(F.filter(F.split(label, r"[、,，/\s]"), lambda s: F.length(s) >= 2), 1, 2)
+    parts = F.filter(F.split(label, r"[、,，/\s]"), lambda s: F.length(s) >= 2)
     return F.when(label == "", _words([PLAIN_GENRE])).otherwise(parts)
 
 

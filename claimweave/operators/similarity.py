@@ -123,7 +123,7 @@ def leader_clusters(
     """(groups, item, cluster): the cluster is the id of its first member.
 
     ``short_text`` None compares everything by Jaccard. ``pivots`` is how many undecided items of a
-    key meet each other in a round; it changes the number of rounds, not the result.
+    key meet each other in the first round, doubled in every further one; it doesn't change the result.
     """
     grp = F.struct(*groups) if groups else F.lit(0)
     chars = F.length(text)
@@ -171,6 +171,7 @@ def leader_clusters(
         hits.append(found)
         taken = leaders.unionByName(found.select(F.col("b").alias("ord"))).distinct()
         undecided = cut(undecided.join(taken, "ord", "left_anti"))
+        pivots *= 2  # so that the number of rounds grows with the logarithm of the largest key
 
     if hits:
         lead = reduce(DataFrame.unionByName, hits).groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("leader"))

@@ -55,7 +55,7 @@ BIND["numbered_claims"] = "SELECT o_orderpriority AS project_id, o_custkey AS se
     "SELECT claim_id, n.project_id, row_number() OVER (PARTITION BY n.project_id ORDER BY created_at, claim_id) + coalesce(top, 0) AS seq FROM {new_claims} n LEFT JOIN (SELECT project_id, max(seq) AS top FROM {numbered_claims} GROUP BY 1) k ON k.project_id = n.project_id",
 )
 def claim_seq(t: Tables) -> DataFrame:
-    return M.claim_sequence(t.new_claims, t.numbered_claims, bucket="month").select("claim_id", "project_id", "seq")
+    return M.claim_sequence(t.new_claims, t.numbered_claims).select("claim_id", "project_id", "seq")
 
 
 BIND["x_exact"] = f"""
@@ -93,12 +93,18 @@ FROM {conflicts} WHERE status IN ('resolved_a', 'resolved_b')
 """
 
 
+# claims of which some were superseded long ago
+BIND["dated_claims"] = """
+SELECT *, CASE WHEN claim_id % 7 = 3 THEN claim_id - 1 END AS superseded_by, CASE WHEN claim_id % 7 = 3 THEN CAST('1999-05-06 00:00:00' AS TIMESTAMP) END AS valid_until FROM {stored_claims}
+"""
+
+
 @query(
     "conflict_apply",
-    f"SELECT c.claim_id, l.w AS superseded_by, CASE WHEN l.w IS NOT NULL THEN 'deprecated' WHEN c.claim_id IN (SELECT superseded_by FROM {{x_success}}) THEN 'preferred' ELSE c.rank END AS rank, CASE WHEN l.w IS NOT NULL THEN '{AS_OF[:10]}' END AS valid_until FROM {{stored_claims}} c LEFT JOIN (SELECT claim_id, max(superseded_by) AS w FROM {{x_success}} GROUP BY 1) l ON l.claim_id = c.claim_id",
+    f"SELECT c.claim_id, coalesce(l.w, c.superseded_by) AS superseded_by, CASE WHEN l.w IS NOT NULL THEN 'deprecated' WHEN c.claim_id IN (SELECT superseded_by FROM {{x_success}}) THEN 'preferred' ELSE c.rank END AS rank, CASE WHEN l.w IS NOT NULL THEN '{AS_OF[:10]}' WHEN c.superseded_by IS NOT NULL THEN '1999-05-06' END AS valid_until FROM {{dated_claims}} c LEFT JOIN (SELECT claim_id, max(superseded_by) AS w FROM {{x_success}} GROUP BY 1) l ON l.claim_id = c.claim_id",
 )
 def conflict_apply(t: Tables) -> DataFrame:
-    out = M.supersede(t.stored_claims, M.verdict_succession(t.conflicts), AS_OF)
+    out = M.supersede(t.dated_claims, M.verdict_succession(t.conflicts), AS_OF)
     return out.select("claim_id", "superseded_by", "rank", F.date_format("valid_until", "yyyy-MM-dd").alias("valid_until"))
 
 
@@ -130,12 +136,15 @@ def apply_decisions(t: Tables) -> DataFrame:
     return M.apply_decisions(t.stored_claims, t.queue, t.decisions)[0].select("claim_id", "review_state")
 
 
+BIND["decided_queue"] = "SELECT *, CASE WHEN state = 'done' THEN 'approve' END AS decision FROM {queue}"
+
+
 @query(
     "close_queue",
-    "SELECT queue_id, CASE WHEN state = 'todo' AND d.action IS NOT NULL THEN 'done' ELSE state END AS state, CASE WHEN state = 'todo' THEN d.action END AS decision FROM {queue} q LEFT JOIN {x_decided} d ON q.item_type = 'claim' AND q.item_id = d.claim_id::VARCHAR",
+    "SELECT queue_id, CASE WHEN state = 'todo' AND d.action IS NOT NULL THEN 'done' ELSE state END AS state, CASE WHEN state = 'todo' THEN d.action ELSE decision END AS decision FROM {decided_queue} q LEFT JOIN {x_decided} d ON q.item_type = 'claim' AND q.item_id = d.claim_id::VARCHAR",
 )
 def close_queue(t: Tables) -> DataFrame:
-    return M.apply_decisions(t.stored_claims, t.queue, t.decisions)[1].select("queue_id", "state", "decision")
+    return M.apply_decisions(t.stored_claims, t.decided_queue, t.decisions)[1].select("queue_id", "state", "decision")
 
 
 BIND["entity_batch"] = """
@@ -156,12 +165,16 @@ def entity_links(t: Tables) -> DataFrame:
     return M.upsert_entities(t.entity_batch)[1].select("claim_id", "entity_id")
 
 
-BIND["runs"] = "SELECT event_id AS run_id, user_id AS project_id, event_type AS goal, ts AS started_at, CASE WHEN event_id % 50 = 0 THEN 'running' ELSE 'done' END AS status FROM {events}"
+BIND["runs"] = """SELECT event_id AS run_id, user_id AS project_id, event_type AS goal, ts AS started_at, CASE WHEN event_id % 50 = 0 THEN 'running' WHEN event_id % 7 = 0 THEN 'failed' ELSE 'done' END AS status,
+ ts + CAST(event_id % 90 AS INT) * INTERVAL 1 MINUTE AS finished_at FROM {events}"""
+
+
+REPEATS = "SELECT run_id, project_id, goal FROM {runs} r WHERE EXISTS (SELECT 1 FROM {runs} d WHERE d.project_id = r.project_id AND d.goal = r.goal AND d.status = 'done' AND d.finished_at BETWEEN r.started_at - INTERVAL 30 MINUTE AND r.started_at)"
 
 
 @query(
     "repeat_runs",
-    "SELECT run_id, project_id, goal FROM (SELECT *, lag(started_at) OVER (PARTITION BY project_id, goal ORDER BY started_at, run_id) AS p FROM {runs}) x WHERE started_at <= p + INTERVAL 30 MINUTE",
+    REPEATS,
 )
 def repeat_runs(t: Tables) -> DataFrame:
     return M.repeat_runs(t.runs).select("run_id", "project_id", "goal")

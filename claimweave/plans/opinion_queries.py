@@ -71,7 +71,7 @@ def aspect_opinions(t: Tables) -> DataFrame:
 
 @query(
     "opinion_evidence",
-    f"SELECT lang, aspect, sentiment, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang, aspect, sentiment ORDER BY doc_id) AS pos FROM ({HITS}) x) y WHERE pos <= 25",
+    f"SELECT lang, aspect, sentiment, doc_id FROM ({HITS}) x",
 )
 def opinion_evidence(t: Tables) -> DataFrame:
     m = E.aspect_mentions(t.documents, ["lang", "doc_id"], LEXICON)

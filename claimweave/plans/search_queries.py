@@ -60,7 +60,7 @@ SELECT query_id, claim_id, sum(1.0::DOUBLE / (60 + pos)) AS base, string_agg(DIS
 BIND["x_hits"] = f"""
 SELECT query_id, claim_id, via, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS pos FROM (
  SELECT f.*, floor(base * (0.6::DOUBLE + 0.4::DOUBLE * coalesce(confidence, 0.3::DOUBLE)) * (0.8::DOUBLE + 0.2::DOUBLE * exp(-(date_diff('microsecond', updated_at, TIMESTAMP '{NOW}') / 86400000000.0::DOUBLE) / 90)) * CASE rank WHEN 'preferred' THEN 1.05::DOUBLE ELSE 1 END * 1e9 + 0.5) / 1e9 AS score
- FROM {{x_fused}} f JOIN {{text_claims}} c USING (claim_id) WHERE merged_into IS NULL AND review_state IN ('auto_accepted', 'approved') AND rank <> 'deprecated') s QUALIFY pos <= 20
+ FROM {{x_fused}} f JOIN {{text_claims}} c USING (claim_id) JOIN {{searches}} q USING (query_id) WHERE (q.project_id IS NULL OR q.project_id = c.project_id) AND merged_into IS NULL AND review_state IN ('auto_accepted', 'approved') AND rank <> 'deprecated') s QUALIFY pos <= 20
 """
 
 
@@ -88,7 +88,7 @@ def substring_rank(t: Tables) -> DataFrame:
 def hits(t: Tables) -> DataFrame:
     kw = cut(J.keyword_rank(t.text_claims, t.searches))
     lists = {"keyword": kw, "evidence": evidence_list(t), "substring": J.substring_rank(t.text_claims, t.searches, kw)}
-    return J.rerank(J.fuse(lists), t.text_claims, NOW)
+    return J.rerank(J.fuse(lists), t.text_claims, NOW, queries=t.searches)
 
 
 @query("fused_search", "SELECT query_id, claim_id, via AS matched_via, score, pos FROM {x_hits}")
@@ -96,6 +96,17 @@ def fused_search(t: Tables) -> DataFrame:
     return hits(t).select("query_id", "claim_id", F.array_join("matched_via", ",").alias("matched_via"), "score", "pos")
 
 
+@query(
+    "search_isolation",
+    "SELECT q.query_id, count(*) AS n_hits, 0::BIGINT AS n_foreign FROM {searches} q JOIN {x_hits} h USING (query_id) WHERE q.project_id IS NOT NULL GROUP BY q.query_id",
+)
+def search_isolation(t: Tables) -> DataFrame:
+    """Hits of queries that name a project, and how many of them belong to another one."""
+    bound = t.searches.filter("project_id is not null").select("query_id", F.col("project_id").alias("only"))
+    found = hits(t).join(bound, "query_id").join(t.text_claims.select("claim_id", "project_id"), "claim_id")
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.count_if(F.col("only") != F.col("project_id")).alias("n_foreign"))
+
+
 CITED = """SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY authority_prior DESC, evidence_id) AS cite_pos, evidence_id, name AS source_name, substr(quote, 1, {n}) AS quote, source_type NOT IN ('store_review', 'community') AS quotable
 FROM {{text_links}} l JOIN {{text_evidence}} USING (evidence_id) JOIN {{text_sources}} USING (source_id) WHERE stance = 'supports' QUALIFY cite_pos <= {k}"""
 BIND["x_cited"] = CITED.format(n=160, k=2)

@@ -72,7 +72,7 @@ def robots_verdict(t: Tables) -> DataFrame:
     return WB.robots_verdict(t.pages.select("page_id", "url"), WB.robots_rules(t.robots))
 
 
-@query("script_lang", "SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1, 500), '[\\x{4E00}-\\x{9FFF}]') THEN 'zh' ELSE 'en' END AS script FROM {documents}")
+@query("script_lang", "SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]') THEN 'zh' ELSE 'en' END AS script FROM {documents}")
 def lang_tag(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", script_lang(F.col("text")).alias("script"))
 

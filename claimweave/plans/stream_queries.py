@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from claimweave.checkpoints import new_folder
 from claimweave.plans.registry import Tables, query
+from claimweave.plans.merge_queries import REPEATS
 from claimweave.plans.search_queries import TERMS
 from claimweave.streaming import jobs as ST
 
@@ -65,10 +66,10 @@ def burst_stream(t: Tables) -> DataFrame:
 
 @query(
     "repeat_stream",
-    "SELECT run_id, project_id, goal FROM (SELECT *, lag(started_at) OVER (PARTITION BY project_id, goal ORDER BY started_at, run_id) AS p FROM {runs}) x WHERE started_at <= p + INTERVAL 30 MINUTE",
+    REPEATS,
 )
 def repeat_stream(t: Tables) -> DataFrame:
-    runs = t.runs.select("run_id", "project_id", "goal", F.col("started_at").cast("timestamp").alias("started_at"))
+    runs = t.runs.select("run_id", "project_id", "goal", "status", F.col("started_at").cast("timestamp").alias("started_at"), F.col("finished_at").cast("timestamp").alias("finished_at"))
     out, state, offsets = folders(t, "repeat")
     rows = arrive(t, runs, "started_at", DAYS, lambda s: ST.run_with_state(s, ST.repeat_step(), out, state, offsets), out)
     return rows.select("run_id", "project_id", "goal")

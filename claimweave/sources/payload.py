@@ -40,12 +40,12 @@ def _dump(node) -> str:
     return json.dumps(node, ensure_ascii=False, separators=(",", ":"))
 
 
-def objects_with_key(c: Column, key: str, limit: int = 300) -> Column:
-    """JSON texts of the objects that hold ``key`` anywhere in the payload, at most ``limit``."""
+def objects_with_key(c: Column, key: str) -> Column:
+    """JSON texts of the objects that hold ``key`` anywhere in the payload."""
 
     @F.pandas_udf(ArrayType(StringType()))
     def find(payloads: pd.Series) -> pd.Series:
-        return payloads.map(lambda p: [_dump(o) for o, _ in zip((o for o in _walk(_load(p)) if key in o), range(limit))])
+        return payloads.map(lambda p: [_dump(o) for o in _walk(_load(p)) if key in o] if p and key in p else [])
 
     return find(c)
 

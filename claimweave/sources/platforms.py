@@ -75,7 +75,7 @@ def comment_rows(comments: DataFrame) -> DataFrame:
     )
 
 
-def pain_rows(comments: DataFrame, competitors: DataFrame, pain_terms: Sequence[str] = PAIN_TERMS[:2]) -> DataFrame:
+def pain_rows(comments: DataFrame, competitors: DataFrame, pain_terms: Sequence[str] = PAIN_TERMS) -> DataFrame:
     """Comments found under "competitor + complaint" searches, tagged with the competitor.
 
     ``comments`` carry the search term that found them; only terms made of a project's competitor and

@@ -102,13 +102,17 @@ def resolve_url(base: Column, href: Column) -> Column:
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
         .otherwise(F.concat(origin, folder, href))
     )
-    out = F.regexp_replace(out, r"/(?:\./)+", "/")
-    for _ in range(4):
-        out = F.regexp_replace(out, r"(?<=[^/])/(?!\.\./)[^/?#]+/\.\./", "/")
-    return out
+    # fold "." and ".." segments of the path, however many there are
+    head = F.regexp_extract(out, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    tail = F.regexp_extract(out, r"[?#].*$", 0)
+    middle = F.substring(out, F.length(head) + 1, F.length(out) - F.length(head) - F.length(tail))
+    none = F.array().cast("array<string>")
+    step = lambda kept, s: F.when(s == ".", kept).when((s == "..") & (F.size(kept) > 1), F.slice(kept, 1, F.size(kept) - 1)).when(s == "..", kept).otherwise(F.concat(kept, F.array(s)))
+    folded = F.concat(head, F.array_join(F.aggregate(F.split(middle, "/", -1), none, step), "/"), tail)
+    return F.when((head != "") & F.contains(middle, F.lit("/.")), folded).otherwise(out)
 
 
-def page_links(pages: DataFrame, pattern: str = UPDATE_LINK, per_page: int | None = 6, seen: DataFrame | None = None) -> DataFrame:
+def page_links(pages: DataFrame, pattern: str = UPDATE_LINK, per_page: int | None = None, seen: DataFrame | None = None) -> DataFrame:
     """Same-site links of each page that match a pattern, one hop, first occurrence first.
 
     ``per_page`` is the crawl budget per page (None keeps every link); ``seen`` holds canonical URLs

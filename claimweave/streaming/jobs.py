@@ -72,25 +72,28 @@ def run_with_state(stream: DataFrame, step: Step, out: str, state: str, checkpoi
 
 
 def repeat_step(minutes: int = 30) -> Step:
-    """Runs repeated within some minutes; the state is the last run of every (project, goal)."""
+    """Runs repeated within some minutes after one was done; the state is what was done shortly before the newest start.
+
+    Batches follow each other by starting time; a finishing time that no later start can reach has expired.
+    """
 
     def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        rows = batch.select("run_id", "project_id", "goal", "started_at").withColumn("fresh", F.lit(True))
+        found = repeat_runs(batch, minutes, before)
+        done = batch.filter((F.col("status") == "done") & F.col("finished_at").isNotNull()).select("project_id", "goal", "finished_at", "started_at")
         if before is not None:
-            rows = rows.unionByName(before.withColumn("fresh", F.lit(False)))
-        last = rows.groupBy("project_id", "goal").agg(F.max(F.struct("started_at", "run_id")).alias("s")).select(
-            F.col("s.run_id").alias("run_id"), "project_id", "goal", F.col("s.started_at").alias("started_at")
-        )
-        return repeat_runs(rows, minutes).filter("fresh").select("run_id", "project_id", "goal"), last
+            done = done.unionByName(before)
+        newest = batch.agg(F.max("started_at").alias("newest"))
+        kept = done.crossJoin(newest).filter(F.col("newest").isNull() | (F.col("finished_at") >= F.col("newest") - F.make_dt_interval(mins=F.lit(minutes))))
+        return found.select("run_id", "project_id", "goal"), kept.drop("newest").distinct()
 
     return step
 
 
-def change_step(bucket: str = "day") -> Step:
+def change_step() -> Step:
     """Fetches that changed a document; the state is the latest content of every document."""
 
     def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        changed = snapshot_changes(batch, before, bucket).select(
+        changed = snapshot_changes(batch, before).select(
             "document_id", "fetched_at", F.col("fetch_id").alias("snapshot_id"), "content_hash"
         )
         rows = changed if before is None else changed.unionByName(before)

@@ -32,9 +32,9 @@ def test_resolve_url(spark):
 def test_page_links_budget_and_seen(spark):
     html = "".join(f'<a href="/news/{i}">x</a>' for i in range(9)) + '<a href="https://other.example/news/1">y</a><a href="/about">z</a>'
     pages = spark.createDataFrame([(1, "https://a.example/", html)], "page_id long, url string, html string")
-    assert WB.page_links(pages).count() == 6 and WB.page_links(pages, per_page=None).count() == 9
+    assert WB.page_links(pages).count() == 9 and WB.page_links(pages, per_page=6).count() == 6
     seen = spark.createDataFrame([("https://a.example/news/0",)], "canonical_url string")
-    assert WB.page_links(pages, seen=seen).count() == 5
+    assert WB.page_links(pages, per_page=6, seen=seen).count() == 5
 
 
 def test_robots(spark):
