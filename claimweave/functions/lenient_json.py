@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def variant_or_null(c: Column) -> Column:
-    return F.try_parse_json(c)
-
-
 def json_get(c: Column, path: str, as_type: str, fallback: Column | None = None) -> Column:
     got = F.try_variant_get(F.try_parse_json(c), path, as_type)
     return F.coalesce(got, fallback) if fallback is not None else got

@@ -42,10 +42,6 @@ def age_days(ts: Column, as_of: Column) -> Column:
     return (micros(as_of) - micros(ts)) / F.lit(86_400_000_000.0)
 
 
-def days_between(a: Column, b: Column) -> Column:
-    return F.abs(age_days(a, b))
-
-
 def log2(x: Column) -> Column:
     return F.log(x) / math.log(2)
 

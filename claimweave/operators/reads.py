@@ -191,6 +191,8 @@ def api_log_stats(logs: DataFrame) -> DataFrame:
     return d.groupBy("key_id", "route").agg(
         F.count(F.lit(1)).alias("calls"),
         round_half_up(F.avg(F.when(F.col("status") >= 400, 1.0).otherwise(0.0))).alias("error_share"),
+        F.percentile_approx("duration_ms", 0.5, 100_000).alias("median_ms"),
+        F.percentile_approx("duration_ms", 0.95, 100_000).alias("p95_ms"),
         F.max("duration_ms").alias("max_ms"),
         F.max("called_at").alias("last_used"),
     )

@@ -218,7 +218,7 @@ def api_log_list(t: Tables) -> DataFrame:
 
 @query(
     "api_log_stats",
-    "SELECT key_id, route, count(*) AS calls, floor(avg(CASE WHEN status >= 400 THEN 1.0 ELSE 0.0 END) * 1000 + 0.5) / 1000 AS error_share, max(floor(duration_ms * 10 + 0.5) / 10) AS max_ms, epoch_us(max(called_at)) AS last_used FROM {api_logs} GROUP BY key_id, route",
+    "SELECT key_id, route, count(*) AS calls, floor(avg(CASE WHEN status >= 400 THEN 1.0 ELSE 0.0 END) * 1000 + 0.5) / 1000 AS error_share, quantile_disc(floor(duration_ms * 10 + 0.5) / 10, 0.5) AS median_ms, quantile_disc(floor(duration_ms * 10 + 0.5) / 10, 0.95) AS p95_ms, max(floor(duration_ms * 10 + 0.5) / 10) AS max_ms, epoch_us(max(called_at)) AS last_used FROM {api_logs} GROUP BY key_id, route",
 )
 def api_log_stats(t: Tables) -> DataFrame:
     return R.api_log_stats(t.api_logs).withColumn("last_used", F.unix_micros(F.col("last_used").cast("timestamp")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from claimweave.checkpoints import cut
 from claimweave.operators import pack as K, search as J
+from claimweave.plans import sqltext as Q
 from claimweave.plans.registry import BIND, Tables, query
 
 NOW = "2024-02-15 00:00:00"
@@ -177,6 +178,15 @@ def pack_rank(t: Tables) -> DataFrame:
     return ranked(t).select("request_id", "claim_id", "section", "rank_score")
 
 
+@query(
+    "pack_costs",
+    f"SELECT claim_id, {Q.estimate('text')} + coalesce(q, 0) AS cost FROM {{text_claims}} LEFT JOIN (SELECT claim_id, CAST(sum({Q.estimate('quote')}) AS BIGINT) AS q FROM {{x_cited}} GROUP BY 1) c USING (claim_id)",
+)
+def pack_costs(t: Tables) -> DataFrame:
+    cited = J.citations(t.text_links, t.text_evidence, t.text_sources, 2, 160)
+    return K.item_cost(t.text_claims.select("claim_id", "text"), cited).select("claim_id", "cost")
+
+
 FILL = """WITH RECURSIVE one AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank_score DESC, claim_id) AS rn FROM {x_ranked}),
  p1(request_id, rn, claim_id, used, f, o, i, took) AS (SELECT DISTINCT request_id, 0::BIGINT, NULL::BIGINT, 4::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, false FROM one
   UNION ALL SELECT request_id, rn, claim_id, used + CASE WHEN t THEN cost ELSE 0 END, f + CASE WHEN t AND section = 'facts' THEN cost ELSE 0 END, o + CASE WHEN t AND section = 'opinions' THEN cost ELSE 0 END, i + CASE WHEN t AND section = 'insights' THEN cost ELSE 0 END, t

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from claimweave.checkpoints import new_folder
 from claimweave.functions.lenient_json import json_get
 from claimweave.functions.scores import parse_time
 from claimweave.functions.text import script_lang
 from claimweave.plans import sqltext as Q
-from claimweave.plans.registry import BIND, Tables, query
+from claimweave.plans.registry import BIND, CHECKS, Tables, query
 from claimweave.sources import payload as P, platforms as PL, reviews as RV, store as ST, web as WB
 
 TXT = Q.html_text("html")
@@ -30,6 +31,18 @@ def thin_pages(t: Tables) -> DataFrame:
     return out.select("page_id", "canonical_url", F.length("text").cast("long").alias("n_chars"), "owner_key", "lang")
 
 
+# a third of the pages show hardly any text, with a description of very different length
+BIND["sparse_pages"] = """
+SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN '<meta name="description" content="' || repeat('word' || CAST(page_id AS STRING) || ' ', CAST(page_id % 60 + 1 AS INT)) || 'end"><p>tiny</p>' ELSE html END AS html FROM {pages}
+"""
+SALVAGED = f"CASE page_id % 3 WHEN 0 THEN repeat('word' || page_id || ' ', (page_id % 60 + 1)::INT) || 'end' || chr(10) || 'tiny' ELSE {TXT} END"
+
+
+@query("imported_pages", f"SELECT page_id, md5({SALVAGED}) AS text_md5, length({SALVAGED}) AS n_chars FROM {{sparse_pages}} WHERE length({SALVAGED}) >= 200")
+def imported_pages(t: Tables) -> DataFrame:
+    return WB.imported_pages(t.sparse_pages).select("page_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
 BIND["x_hrefs"] = r"""
 SELECT page_id, url, i AS link_pos, h[i] AS href, CASE WHEN h[i] LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h[i] ELSE h[i] END AS target
 FROM (SELECT page_id, url, h, unnest(range(1, len(h) + 1)) AS i FROM (
@@ -72,6 +85,22 @@ def robots_verdict(t: Tables) -> DataFrame:
     return WB.robots_verdict(t.pages.select("page_id", "url"), WB.robots_rules(t.robots))
 
 
+@query("robots_allowed", "SELECT page_id FROM (" + CHECKS["robots_verdict"] + ") v WHERE verdict <> 'disallowed'")
+def robots_allowed(t: Tables) -> DataFrame:
+    judged = WB.robots_verdict(t.pages.select("page_id", "url"), WB.robots_rules(t.robots))
+    return WB.drop_disallowed(judged, strict=True).select("page_id")
+
+
+@query("snapshot_payload", "SELECT event_id, user_id % 7 AS project_id, CAST(CASE WHEN event_id % 5 > 0 THEN props->>'k' END AS BIGINT) AS k FROM {events}")
+def snapshot_payload(t: Tables) -> DataFrame:
+    """Snapshots written with their raw payload and read back; a payload that isn't JSON is kept as none."""
+    raw = F.when(F.col("event_id") % 5 > 0, F.col("props")).otherwise("{broken")
+    folder = new_folder(t.spark, "snapshots")
+    ST.write_snapshots(t.events.select("event_id", (F.col("user_id") % 7).alias("project_id"), raw.alias("raw_json")), folder)
+    back = t.spark.read.parquet(folder)
+    return back.select("event_id", F.col("project_id").cast("long").alias("project_id"), F.try_variant_get("raw", "$.k", "bigint").alias("k"))
+
+
 @query("script_lang", "SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]') THEN 'zh' ELSE 'en' END AS script FROM {documents}")
 def lang_tag(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", script_lang(F.col("text")).alias("script"))

@@ -72,6 +72,11 @@ def owner_of(c: Column) -> Column:
     return F.regexp_replace(host_of(c), r"^www\.", "")
 
 
+def imported_pages(pages: DataFrame) -> DataFrame:
+    """Pages handed in by a user: those with less readable text than an import needs are dropped."""
+    return page_documents(pages, THIN_IMPORT)
+
+
 def page_documents(pages: DataFrame, min_chars: int = THIN_PAGE) -> DataFrame:
     """Pages (url, html) to documents; pages too thin to read are dropped, whole texts are kept."""
     out = pages.withColumn("text", page_text(F.col("html"))).filter(F.length("text") >= min_chars)
