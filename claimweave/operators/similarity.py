@@ -27,6 +27,8 @@ from claimweave.functions.text import hamming, jaccard, shingles, token_hash
 from claimweave.operators.ranking import top_per_key
 
 SHORT_TEXT, HAMMING_MAX, JACCARD_MIN, CLAIM_JACCARD = 400, 3, 0.82, 0.7
+# Document types whose copies are syndication.
+NARRATIVE_TYPES = ("page", "wiki_page", "rss_item", "upload")
 _KEY = ["grp", "kind", "bucket"]
 
 
@@ -186,8 +188,15 @@ def with_cluster_size(clusters: DataFrame, groups: Sequence[str] = ()) -> DataFr
     return clusters.join(size, [*groups, "cluster"])
 
 
-def syndicated(snapshots: DataFrame, groups: Sequence[str] = ("project_id",), order: str = "snapshot_id") -> DataFrame:
-    """Narrative snapshots that belong to a cluster of copies; whole texts are compared."""
+def syndicated(
+    snapshots: DataFrame, groups: Sequence[str] = ("project_id",), order: str = "snapshot_id", doc_types: Sequence[str] = NARRATIVE_TYPES
+) -> DataFrame:
+    """Narrative snapshots that belong to a cluster of copies; whole texts are compared.
+
+    Only documents of the given types count (all, where the table has no column doc_type).
+    """
+    if "doc_type" in snapshots.columns:
+        snapshots = snapshots.filter(F.col("doc_type").isin(list(doc_types)))
     clusters = leader_clusters(snapshots, "snapshot_id", order, "text", groups)
     return with_cluster_size(clusters, groups).filter(F.col("cluster_size") > 1)
 

@@ -55,6 +55,9 @@ HITS = " UNION ALL ".join(
 )
 
 
+SAID = "CASE aspect || '/' || sentiment " + " ".join(f"WHEN '{a}/{s}' THEN '{w}'" for a, _, _, _, p, c in LEXICON for s, w in (("positive", p), ("negative", c))) + " END"
+
+
 @query("aspect_mentions", f"SELECT doc_id, aspect, sentiment FROM ({HITS}) h")
 def aspect_mentions(t: Tables) -> DataFrame:
     return E.aspect_mentions(t.documents, ["doc_id"], LEXICON).select("doc_id", "aspect", "sentiment")
@@ -62,11 +65,11 @@ def aspect_mentions(t: Tables) -> DataFrame:
 
 @query(
     "aspect_opinions",
-    f"SELECT lang, aspect, sentiment, h AS n_holding, n AS n_discussing, {R3.format('CAST(h AS DOUBLE) / n')} AS prevalence, {R3.format(WILSON.format(h='CAST(h AS DOUBLE)', n='CAST(n AS DOUBLE)'))} AS ci_low FROM (SELECT lang, aspect, sentiment, count(*) AS h FROM ({HITS}) x GROUP BY ALL HAVING count(*) >= 3) m JOIN (SELECT lang, count(*) AS n FROM {{documents}} GROUP BY lang) t USING (lang)",
+    f"SELECT lang, aspect, sentiment, {SAID} || '（《' || lang || '》）' AS claim_text, h AS n_holding, n AS n_discussing, {R3.format('CAST(h AS DOUBLE) / n')} AS prevalence, {R3.format(WILSON.format(h='CAST(h AS DOUBLE)', n='CAST(n AS DOUBLE)'))} AS ci_low FROM (SELECT lang, aspect, sentiment, count(*) AS h FROM ({HITS}) x GROUP BY ALL HAVING count(*) >= 3) m JOIN (SELECT lang, count(*) AS n FROM {{documents}} GROUP BY lang) t USING (lang)",
 )
 def aspect_opinions(t: Tables) -> DataFrame:
-    out = E.aspect_opinions(t.documents, ["lang"], LEXICON)
-    return out.select("lang", "aspect", "sentiment", "n_holding", "n_discussing", "prevalence", "ci_low")
+    out = E.aspect_opinions(t.documents, ["lang"], LEXICON, project="lang")
+    return out.select("lang", "aspect", "sentiment", "claim_text", "n_holding", "n_discussing", "prevalence", "ci_low")
 
 
 @query(
@@ -78,6 +81,17 @@ def opinion_evidence(t: Tables) -> DataFrame:
     return E.opinion_evidence(m, ["lang", "aspect", "sentiment"], ["doc_id"]).select("lang", "aspect", "sentiment", "doc_id")
 
 
+@query(
+    "quoted_opinions",
+    f"SELECT lang, aspect, sentiment FROM (SELECT lang, aspect, sentiment, count(*) AS n, count(*) FILTER (WHERE doc_id % 40 = 0) AS q FROM ({HITS}) x GROUP BY ALL) y WHERE n >= 3 AND q >= 2",
+)
+def quoted_opinions(t: Tables) -> DataFrame:
+    """Opinions of which at least two quotes were grounded (here those of every fortieth review)."""
+    keys = ["lang", "aspect", "sentiment"]
+    grounded = E.aspect_mentions(t.documents.filter("doc_id % 40 = 0"), ["lang", "doc_id"], LEXICON)
+    return E.quoted_opinions(E.aspect_opinions(t.documents, ["lang"], LEXICON), grounded, keys).select(*keys)
+
+
 PAIN = [("monetization", LEXICON[0][3], "expensive"), ("grind", LEXICON[1][3], "slow")]
 
 

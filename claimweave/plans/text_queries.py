@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from claimweave.functions import text as X
-from claimweave.operators import audit as A, grounding as G, similarity as N
+from claimweave.operators import audit as A, grounding as G, merge as M, similarity as N
 from claimweave.plans import sqltext as Q
 from claimweave.plans.registry import BIND, Tables, query
 
@@ -93,6 +93,18 @@ def claim_near_dup(t: Tables) -> DataFrame:
     return N.near_duplicate_claims(claims)
 
 
+BIND["doc_edges"] = "SELECT doc_id AS claim_id, doc_id % 7 AS evidence_id, n_chars AS line FROM {documents}"
+
+
+@query(
+    "claim_near_merge",
+    leader_check("lang", CLAIM_DUP) + "SELECT claim_id, evidence_id, arg_min(line, (moved::INT, orig)) AS line FROM (SELECT c.cluster AS claim_id, e.evidence_id, e.line, c.cluster <> e.claim_id AS moved, e.claim_id AS orig FROM {doc_edges} e JOIN clusters c ON c.doc_id = e.claim_id) y GROUP BY claim_id, evidence_id",
+)
+def claim_near_merge(t: Tables) -> DataFrame:
+    """Evidence moves with near-duplicate claims to the claim that stays."""
+    return M.repoint_edges(t.doc_edges, claim_near_dup(t))
+
+
 BIND["dated_docs"] = "SELECT d.doc_id, d.source, d.lang, d.text, e.ts FROM {documents} d LEFT JOIN {events} e ON e.event_id = d.doc_id"
 ASTRO = leader_check("source") + f""", dup AS (SELECT source, count(*) AS n_items, count(*) FILTER (WHERE size > 1) AS n_dup FROM (SELECT *, count(*) OVER (PARTITION BY source, cluster) AS size FROM clusters) x GROUP BY source),
  burst AS (SELECT source, CASE WHEN count(*) >= 5 THEN max(w)::DOUBLE / count(*) ELSE 0 END AS b FROM (SELECT source, count(*) OVER (PARTITION BY source ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 24 HOUR FOLLOWING) AS w FROM {{dated_docs}} WHERE ts IS NOT NULL) y GROUP BY source),
