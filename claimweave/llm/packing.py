@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from claimweave.checkpoints import new_folder
 from claimweave.llm.batches import text_slices, texts_of
-from claimweave.llm.tokens import encoder
+from claimweave.llm.tokens import TOKEN_SLICE, encoder
 
 WINDOW = 2048
 #: Rests packed together by one task.
@@ -86,7 +86,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
 
     def cut(batches):
         part, row = TaskContext.get().partitionId(), 0
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=TOKEN_SLICE):
             ids, at = encoder(tokenizer).encode_with_end(texts_of(batch), end_id)
             data, doc_ids, out = ids.astype("<u4").tobytes(), batch.column("doc_id").to_pylist(), []
             for doc_id, a, b in zip(doc_ids, at[:-1].tolist(), at[1:].tolist(), strict=True):

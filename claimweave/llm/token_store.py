@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from claimweave.llm.batches import text_slices, texts_of
 from claimweave.llm.grammar import MIN_COUNT, Shard, shard_starts
-from claimweave.llm.tokens import encoder
+from claimweave.llm.tokens import TOKEN_SLICE, encoder
 
 SHARD_IDS = 1 << 18
 #: Stands for a null document id inside a shard.
@@ -46,7 +46,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "shard", "n_docs", "n_ids", "payload"])
 
         waiting = 0
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=TOKEN_SLICE):
             ids, at = encoder(tokenizer).encode_with_end(texts_of(batch), end_id)
             doc_ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             held.append((ids, doc_ids, np.diff(at)))

@@ -20,6 +20,8 @@ from claimweave.llm.batches import ragged
 
 #: Words a worker keeps before it starts afresh.
 MEMO_WORDS = 1_000_000
+#: Text bytes encoded at a time: more than elsewhere, as words repeat.
+TOKEN_SLICE = 4 << 20
 #: Unknown words joined into one call of the tokenizer.
 CALL_WORDS = 2_000
 
