@@ -204,7 +204,7 @@ def _unpack(batches):
 
 
 def _rest_pairs(percent: int):
-    """Tiles with roots in; out come all pairs of different roots whose sizes and bitmaps allow them to be similar."""
+    """Tiles with roots in; out come, as stars, all pairs of different roots whose sizes and bitmaps allow them to be similar."""
 
     def run(batches):
         for table in _groups(batches, "tile"):
@@ -212,12 +212,15 @@ def _rest_pairs(percent: int):
             root, runs = table.column("root").to_numpy(), _runs(table.column("tile").to_numpy())
             for s, e in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
                 values, counts = np.unique(root[s:e], return_counts=True)
+                leaders, others = [], []
                 for u in (s + np.flatnonzero(root[s:e] != values[counts.argmax()])).tolist():  # one of each pair isn't in the largest
                     pool = s + np.flatnonzero(root[s:e] != root[u])
                     near = _pass(n, bits, u, pool, percent)
                     if len(near):
-                        a, b = np.minimum(cls[near], cls[u]), np.maximum(cls[near], cls[u])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                        leaders.append(int(cls[u]))
+                        others.append(cls[near].tobytes())
+                if leaders:
+                    yield pa.RecordBatch.from_arrays([pa.array(leaders, pa.int64()), pa.array(others, pa.binary())], names=["leader", "others"])
 
     return run
 
@@ -259,8 +262,8 @@ def _decide(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pe
     def similar(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):  # views, not copies
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -314,8 +317,10 @@ def members(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     open_tiles = stars.join(failed, "leader").select("tile").distinct()
     members = stars.filter("members is not null").join(open_tiles, "tile").select("tile", "members").mapInArrow(_unpack, MEMBER)
     rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    rest = rooted.repartition("tile").sortWithinPartitions("tile").mapInArrow(_rest_pairs(percent), "a long, b long")
-    rest = stored(rest.distinct().join(either, ["a", "b"], "left_anti"), "rest")
+    rest = rooted.repartition("tile").sortWithinPartitions("tile").mapInArrow(_rest_pairs(percent), "leader long, others binary")
+    rest = rest.repartition("leader").sortWithinPartitions("leader").mapInArrow(_star_pairs, "a long, b long")
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = stored(rest.join(either, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = stored(_decide(rest, docs, ids, size, percent, stored), "more")
         if not more.isEmpty():
