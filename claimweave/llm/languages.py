@@ -38,7 +38,9 @@ FAMILIES = {
 }
 UNDECIDED = "und"
 DIMENSIONS = 4096
-SLICE_ROWS = 1000
+#: Labelled rows to learn from.
+SAMPLE_ROWS = 2000
+SLICE_ROWS = 250
 
 _LETTER = np.full(256, 0x20, dtype=np.uint32)
 _LETTER[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -69,11 +71,10 @@ def features(texts: pa.Array) -> np.ndarray:
 
 
 def train_svm(x: np.ndarray, positive: np.ndarray, cost: float = 4.0, rounds: int = 12) -> np.ndarray:
-    """Weights (the last one the bias) of a linear SVM with squared hinge loss, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
+    """Weights of a linear SVM with squared hinge loss, by dual coordinate descent; the last column of x is 1."""
     y = np.where(positive, 1.0, -1.0)
     weights, alpha = np.zeros(x.shape[1], dtype=np.float64), np.zeros(len(x))
-    diagonal = (x * x).sum(axis=1) + 0.5 / cost
+    diagonal = np.einsum("ij,ij->i", x, x) + 0.5 / cost
     order = np.random.default_rng(7)
     for _ in range(rounds):
         for i in order.permutation(len(x)):
@@ -94,6 +95,7 @@ class Model:
 
     @classmethod
     def fit(cls, x: np.ndarray, labels: list[str]) -> Model:
+        x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
         names = np.array(labels, dtype=object)
         known = sorted(set(labels))
         model = cls(sorted({family_of(k) for k in known}))
@@ -142,7 +144,7 @@ def _slices(batches):
             yield batch.slice(a, SLICE_ROWS)
 
 
-def fit(labelled: DataFrame, sample_rows: int = 4000) -> Model:
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from rows (doc_id, text, lang); about ``sample_rows`` of them, whole texts, enter the model."""
     rows = labelled.filter("doc_id is not null and text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
@@ -190,7 +192,7 @@ def remainder(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-def identify(docs: DataFrame, sample_rows: int = 4000) -> DataFrame:
+def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned from labelled rows whose remainder by 4 is not 2."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit(rows.filter(remainder(4) != 2), sample_rows)
