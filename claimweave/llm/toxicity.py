@@ -34,6 +34,8 @@ from claimweave.llm.shingles import mix
 BITS = 18
 CHUNKS = 16
 FEATURES = 6
+#: Labelled documents, half of them toxic, that the field is trained on.
+SAMPLE_DOCS = 1200
 #: A feature marks tokens as toxic from this log ratio of rates on, if chance hardly explains it: the log
 #: likelihood it gains must exceed what the luckiest of all features would gain.
 LEAST_RATIO = 3.0
@@ -72,7 +74,7 @@ def tokens_of(texts: pa.Array) -> Tokens:
     starts = np.flatnonzero(opens)
     if not len(starts):
         none = np.zeros(0, dtype=np.int64)
-        return Tokens(none, none, none, none, np.zeros((0, FEATURES), dtype=np.int64), len(lower))
+        return Tokens(none, none, none, none, np.zeros((0, FEATURES), dtype=np.int32), len(lower))
     inner = np.flatnonzero(letter)
     first = np.flatnonzero(opens[inner])
     length = np.diff(np.append(first, len(inner)))
@@ -80,7 +82,7 @@ def tokens_of(texts: pa.Array) -> Tokens:
     powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(length.max()), _STEP)]))
     place = np.arange(len(inner)) - np.repeat(first, length)
     value = value * powers[place]
-    feature = np.zeros((len(starts), FEATURES), dtype=np.int64)
+    feature = np.zeros((len(starts), FEATURES), dtype=np.int32)
 
     def hashed(total, salt):
         return (mix(total + np.uint64(salt)) >> np.uint64(64 - BITS)).astype(np.int64)
@@ -145,7 +147,7 @@ class Model:
 
     def tag(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of the tokens, and one row of evidence a text."""
-        chance, _ = marginals(self.weights[t.feature].sum(axis=1) + self.bias, t.chain, self.bonds)
+        chance, _ = marginals(sum(self.weights[t.feature[:, i]] for i in range(FEATURES)) + self.bias, t.chain, self.bonds)
         total = np.bincount(t.text, weights=chance * chance, minlength=t.texts)  # many doubtful tokens don't add up to a sure one
         count = np.bincount(t.text, minlength=t.texts)
         surest = np.zeros(t.texts)
@@ -164,7 +166,7 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
         for batch in text_slices(batches):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             t = tokens_of(texts_of(batch))
-            key = np.unique((np.repeat(t.text, 4) << BITS) | t.feature[:, :4].ravel())
+            key = np.unique((np.repeat(t.text, 4).astype(np.int64) << BITS) | t.feature[:, :4].ravel())
             for kind in (0, 1):
                 seen[kind] += np.bincount(key[toxic[key >> BITS] == kind] & ((1 << BITS) - 1), minlength=1 << BITS)
             docs += np.bincount(toxic, minlength=2)
@@ -191,11 +193,11 @@ def _train_field(t: Tokens, gold: np.ndarray, rounds: int, penalty: float = 0.05
     actual = np.zeros((2, 2))
     np.add.at(actual, (gold[inner], gold[inner + 1]), 1)
     used = np.unique(t.feature)
-    flat = np.searchsorted(used, t.feature)
+    flat = np.searchsorted(used, t.feature).astype(np.int32)
     own, mean, spread = np.zeros(len(used)), np.zeros(len(used) + 4), np.zeros(len(used) + 4)
     for k in range(1, rounds + 1):
-        chance, expected = marginals(own[flat].sum(axis=1) + bias, t.chain, bonds)
-        slope = np.bincount(flat.ravel(), weights=np.repeat(gold - chance, FEATURES), minlength=len(used)) - penalty * own
+        chance, expected = marginals(sum(own[flat[:, i]] for i in range(FEATURES)) + bias, t.chain, bonds)
+        slope = sum(np.bincount(flat[:, i], weights=gold - chance, minlength=len(used)) for i in range(FEATURES)) - penalty * own
         slope = np.concatenate([slope, (actual - expected).ravel() - penalty * bonds.ravel()])
         mean = 0.9 * mean + 0.1 * slope
         spread = 0.99 * spread + 0.01 * slope * slope
@@ -218,10 +220,10 @@ def _train_final(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray, ro
     return final
 
 
-def fit(labelled: DataFrame, sample_docs: int = 3000, rounds: int = 40) -> Model | None:
-    """Learn from rows (doc_id, text, toxic 0/1); None if they don't show both kinds."""
-    rows = labelled.filter("doc_id is not null and toxic is not null").select("doc_id", "text", F.col("toxic").cast("long").alias("toxic"))
-    toxic_seen, clean_seen, n_toxic, n_clean = _counts(rows.select("text", "toxic"))
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int = 40) -> Model | None:
+    """Learn from documents (doc_id, text) that have a label (doc_id, toxic 0/1, one row an id); None if they don't show both kinds."""
+    labels = labels.filter("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("long").alias("toxic"))
+    toxic_seen, clean_seen, n_toxic, n_clean = _counts(docs.join(labels.hint("merge"), "doc_id").select("text", "toxic"))  # the same way at any size
     if not n_toxic or not n_clean:
         return None
     ratio = np.log((toxic_seen + 0.5) / (n_toxic + 1)) - np.log((clean_seen + 0.5) / (n_clean + 1))
@@ -230,7 +232,8 @@ def fit(labelled: DataFrame, sample_docs: int = 3000, rounds: int = 40) -> Model
     marked = (ratio >= LEAST_RATIO) & (gain >= LEAST_GAIN)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     bound = F.when(F.col("toxic") == 1, int(min(1.0, sample_docs / 2 / n_toxic) * (1 << 30))).otherwise(int(min(1.0, sample_docs / 2 / n_clean) * (1 << 30)))
-    sample = rows.filter(draw < bound).toArrow().sort_by("doc_id")  # bounded by sample_docs
+    drawn = F.broadcast(labels.filter(draw < bound))  # about sample_docs rows, whatever the table
+    sample = docs.join(drawn, "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
     texts = pc.fill_null(sample.column("text").cast(pa.large_string()), "").combine_chunks()
     texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
     toxic = sample.column("toxic").to_numpy()
@@ -267,12 +270,12 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, score double, spans array<struct<start: long, end: long>>")
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_spans): learned from labels of documents whose remainder by 5 is not 0."""
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic")).filter((remainder != 0) & F.col("toxic").isin(0, 1))
     told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = fit(rows.filter(remainder != 0).join(told, "doc_id"), sample_docs)
+    model = fit(rows.filter(remainder != 0), told, sample_docs)
     found = score(rows, model)
     return found.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
