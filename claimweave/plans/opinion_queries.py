@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from claimweave.operators import conflicts as C, extract as E, merge as M, roles as R, scoring as S
+from claimweave.operators import conflicts as C, extract as E, grounding as G, merge as M, roles as R, scoring as S
 from claimweave.plans import sqltext as Q
 from claimweave.plans.registry import BIND, Tables, query
 from claimweave.plans.score_queries import R3, WILSON
@@ -86,9 +86,11 @@ def opinion_evidence(t: Tables) -> DataFrame:
     f"SELECT lang, aspect, sentiment FROM (SELECT lang, aspect, sentiment, count(*) AS n, count(*) FILTER (WHERE doc_id % 40 = 0) AS q FROM ({HITS}) x GROUP BY ALL) y WHERE n >= 3 AND q >= 2",
 )
 def quoted_opinions(t: Tables) -> DataFrame:
-    """Opinions of which at least two quotes were grounded (here those of every fortieth review)."""
+    """Opinions of which at least two quotes are found again in their reviews."""
     keys = ["lang", "aspect", "sentiment"]
-    grounded = E.aspect_mentions(t.documents.filter("doc_id % 40 = 0"), ["lang", "doc_id"], LEXICON)
+    reviews = t.documents.withColumnRenamed("doc_id", "snapshot_id")
+    quotes = E.aspect_mentions(reviews, ["lang", "snapshot_id"], LEXICON)
+    grounded = G.ground_links(quotes, reviews).filter("ok")
     return E.quoted_opinions(E.aspect_opinions(t.documents, ["lang"], LEXICON), grounded, keys).select(*keys)
 
 
