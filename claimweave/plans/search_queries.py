@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from claimweave.checkpoints import cut
 from claimweave.operators import pack as K, search as J
 from claimweave.plans import sqltext as Q
 from claimweave.plans.registry import BIND, Tables, query
@@ -67,29 +66,22 @@ SELECT query_id, claim_id, via, score, row_number() OVER (PARTITION BY query_id
 
 @query("keyword_rank", "SELECT query_id, claim_id, score, pos FROM {x_kw}")
 def keyword_rank(t: Tables) -> DataFrame:
-    return J.keyword_rank(t.text_claims, t.searches).select("query_id", "claim_id", "score", "pos")
-
-
-def evidence_list(t: Tables) -> DataFrame:
-    # quotes belong to several projects through their claims, so the project is applied at the end
-    return J.evidence_rank(t.search_evidence, t.text_links, t.open_searches)
+    return J.keyword_rank(t.text_claims, t.searches, shown=J.eligible(t.text_claims)).select("query_id", "claim_id", "score", "pos")
 
 
 @query("evidence_rank", "SELECT query_id, claim_id, score, pos FROM {x_ev}")
 def evidence_rank(t: Tables) -> DataFrame:
-    return evidence_list(t).select("query_id", "claim_id", "score", "pos")
+    ranked = J.evidence_rank(t.search_evidence, t.text_links, t.searches, J.eligible(t.text_claims))
+    return ranked.select("query_id", "claim_id", "score", "pos")
 
 
 @query("substring_rank", "SELECT query_id, claim_id, pos FROM {x_sub}")
 def substring_rank(t: Tables) -> DataFrame:
-    kw = J.keyword_rank(t.text_claims, t.searches)
-    return J.substring_rank(t.text_claims, t.searches, kw).select("query_id", "claim_id", "pos")
+    return J.substring_rank(J.eligible(t.text_claims), t.searches).select("query_id", "claim_id", "pos")
 
 
 def hits(t: Tables) -> DataFrame:
-    kw = cut(J.keyword_rank(t.text_claims, t.searches))
-    lists = {"keyword": kw, "evidence": evidence_list(t), "substring": J.substring_rank(t.text_claims, t.searches, kw)}
-    return J.rerank(J.fuse(lists), t.text_claims, NOW, queries=t.searches)
+    return J.search(t.text_claims, t.search_evidence, t.text_links, t.searches, NOW)
 
 
 @query("fused_search", "SELECT query_id, claim_id, via AS matched_via, score, pos FROM {x_hits}")

@@ -1,6 +1,11 @@
 """Registered queries and operators on rows that an earlier cut left out."""
 
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from claimweave.operators import search as J
 
 
 def test_quotes_of_every_review_count(spark, tmp_path):
@@ -8,3 +13,17 @@ def test_quotes_of_every_review_count(spark, tmp_path):
     spark.createDataFrame(said, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [tuple(r) for r in entry.queries()["quoted_opinions"](spark, str(tmp_path)).collect()]
     assert got == [("en", "value", "positive")]
+
+
+def test_hidden_claims_take_no_place_in_a_list(spark):
+    hot = [(i, "hot", "alpha beta", "approved") for i in range(300)]
+    small = [(1000 + i, "small", "gamma delta", "pending") for i in range(60)] + [(2000, "small", "gamma delta", "approved"), (2001, "small", "xgamma deltax", "approved")]
+    claims = spark.createDataFrame(hot + small, "claim_id long, project_id string, text string, review_state string").withColumns(
+        {"rank": F.lit("normal"), "merged_into": F.lit(None).cast("long"), "confidence": F.lit(0.5), "updated_at": F.lit(datetime(2024, 1, 1))}
+    )
+    quotes = spark.createDataFrame([(i, None, "omega gamma") for i in range(300)] + [(5000, None, "omega gamma")], "evidence_id long, project_id string, quote string")
+    links = spark.createDataFrame([(i, i) for i in range(300)] + [(5000, 2001)], "evidence_id long, claim_id long")
+    asked = spark.createDataFrame([(1, "omega", "small"), (2, "gamma delta", "small")], "query_id long, query string, project_id string")
+    hits = J.search(claims, quotes, links, asked, "2024-02-01 00:00:00").collect()
+    got = {(r.query_id, r.claim_id): r.matched_via for r in hits}
+    assert got == {(1, 2001): ["evidence"], (2, 2000): ["keyword", "substring"], (2, 2001): ["evidence", "substring"]}
