@@ -261,18 +261,48 @@ def flag_promotion(evidence: DataFrame, scan: DataFrame, suspects: DataFrame) ->
     return out, queue
 
 
-def related_pairs(claims: DataFrame, newest: int = 60, first_pairs: int = 8, low: float = 0.35, high: float = CLAIM_JACCARD) -> DataFrame:
-    """Report of related-but-different claims: the first pairs among each project's newest claims.
+def related_pairs(claims: DataFrame, first_pairs: int = 8, low: float = 0.35, high: float = CLAIM_JACCARD) -> DataFrame:
+    """Report of related-but-different claims: each project's first pairs, the newest claims first.
 
-    Both numbers are the size of the report, as in a top-k list; they bound the claims that meet.
+    All claims of a project and topic meet through the prefix index. Equal sets of tokens are folded
+    before: whatever pairs two sets make, the first n of them lie among the n newest claims of each.
+    The newest claims meet all older ones first, then four times as many, and so on until a project
+    has its n pairs or no claims are left; later claims could only give later pairs.
     """
-    recent = top_per_key(claims, ["project_id"], [F.col("updated_at").desc(), F.col("claim_id")], newest)
-    toks = recent.select("project_id", "topic", "claim_id", "pos", F.array_distinct(shingles(F.col("text"))).alias("tok"))
-    a, b = toks.alias("a"), toks.alias("b")
-    same = (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.topic") == F.col("b.topic")) & (F.col("a.pos") < F.col("b.pos"))
-    sim = jaccard(F.col("a.tok"), F.col("b.tok"))
-    pairs = a.join(b, same).select(
-        F.col("a.project_id").alias("project_id"), F.col("a.claim_id").alias("claim_a"), F.col("b.claim_id").alias("claim_b"),
-        F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), sim.alias("similarity"),
-    ).filter((F.col("similarity") >= low) & (F.col("similarity") < high))
-    return top_per_key(pairs, ["project_id"], [F.col("pos_a"), F.col("pos_b")], first_pairs).drop("pos_a", "pos_b")
+    at = top_per_key(claims, ["project_id"], [F.col("updated_at").desc(), F.col("claim_id")], None)
+    sets = at.select(
+        F.struct("project_id", "topic").alias("grp"), "claim_id", "pos", F.array_sort(F.array_distinct(hashed_shingles(F.col("text")))).alias("tokens")
+    ).filter((F.size("tokens") > 0) & F.col("project_id").isNotNull() & F.col("topic").isNotNull())
+    sets = cut(sets.withColumn("sig", F.sha2(F.array_join("tokens", ","), 256)))
+    members = cut(top_per_key(sets.drop("tokens"), ["grp", "sig"], [F.col("pos")], first_pairs, "nth").drop("nth"))
+    reps = sets.groupBy("grp", "sig").agg(F.min_by("tokens", "pos").alias("tokens"), F.min("pos").alias("ord"))
+    reps = cut(reps.withColumns({"n_tok": F.size("tokens"), "short": F.lit(True)}))
+    index = cut(_prefix_index(reps, low).select("grp", F.col("grp.project_id").alias("project_id"), "bucket", "ord", "n_tok"))
+    same = (F.col("x.grp") == F.col("y.grp")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.ord") < F.col("y.ord"))
+    one = lambda c: reps.select("grp", F.col("ord").alias(c), F.col("tokens").alias(f"t{c}"), F.col("sig").alias(f"sig_{c}"))
+    named = lambda c: members.select("grp", F.col("sig").alias(f"sig_{c}"), F.struct("pos", "claim_id").alias(c))
+    fits = F.least("x.n_tok", "y.n_tok") >= F.greatest("x.n_tok", "y.n_tok") * low - 1e-9
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        met = rows.alias("x").join(index.alias("y"), same).filter(fits)
+        met = met.select(F.col("x.grp").alias("grp"), F.col("x.ord").alias("a"), F.col("y.ord").alias("b")).distinct()
+        near = met.join(one("a"), ["grp", "a"]).join(one("b"), ["grp", "b"]).withColumn("similarity", jaccard(F.col("ta"), F.col("tb")))
+        near = near.filter((F.col("similarity") >= low) & (F.col("similarity") < high)).select("grp", "sig_a", "sig_b", "similarity")
+        pairs = near.join(named("a"), ["grp", "sig_a"]).join(named("b"), ["grp", "sig_b"]).select(
+            F.col("grp.project_id").alias("project_id"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"
+        )
+        return pairs.select(
+            "project_id", F.col("a.claim_id").alias("claim_a"), F.col("b.claim_id").alias("claim_b"),
+            F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), "similarity",
+        )
+
+    order = [F.col("pos_a"), F.col("pos_b")]
+    ends = cut(index.groupBy("project_id").agg(F.max("ord").alias("end")))
+    found, undone, done, upto = pairs_of(index.limit(0)), ends, 0, 64
+    while not undone.isEmpty():
+        rows = index.filter((F.col("ord") > done) & (F.col("ord") <= upto)).join(undone.select("project_id"), "project_id", "left_semi")
+        found = cut(top_per_key(found.unionByName(pairs_of(rows)), ["project_id"], order, first_pairs).drop("pos"))
+        full = found.filter(F.col("pos_a") <= upto).groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= first_pairs)
+        undone = cut(undone.filter(F.col("end") > upto).join(full, "project_id", "left_anti"))
+        done, upto = upto, upto * 4
+    return top_per_key(found, ["project_id"], order, first_pairs).drop("pos_a", "pos_b")
