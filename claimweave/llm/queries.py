@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimweave.checkpoints import new_folder
-from claimweave.llm import exact_search, jaccard_join, languages, mixing, packing, permutation_index, secrets, token_store, toxicity, url_filters
+from claimweave.llm import exact_search, fill_middle, jaccard_join, languages, mixing, packing, permutation_index, secrets, token_store, toxicity, url_filters
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -86,44 +86,6 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
 
 
-def _secret_spans(kind: str, place: int, pattern: str, group: int, least: int) -> str:
-    """Spans of one kind: the parts between matches and the matches before give each start."""
-    p = "'" + pattern.replace("'", "''") + "'"
-    measured = f"regexp_extract_all(t, {p}, {group})"
-    begin = "list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)"
-    spans = f"list_transform(range(1, len(hits) + 1), lambda i: {{'s': ({begin})::bigint, 'n': length(hits[i])::bigint, 'm': length(sized[i])}})"
-    return f"""select doc_id, '{kind}' as kind, {place} as place, s.s as s, s.s + s.n as e from (
-        select doc_id, unnest({spans}) as s from (select doc_id, string_split_regex(t, {p}) as parts, regexp_extract_all(t, {p}, 0) as hits, {measured} as sized from texts) where len(hits) > 0) where s.m >= {least}"""
-
-
-def _either_case(words: str) -> str:
-    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
-
-
-#: (kind, whole pattern, group that is measured, its least length), as the rules have them.
-_SECRET_SQL = [
-    ("assign", f"({_either_case('password|passwd|secret|token|api_?key')})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    ("access", "AKIA[A-Z0-9]+", 0, 18),
-    ("hex", "[0-9a-f]{16,}", 0, 16),
-    ("github", "gh[opsru]_[A-Za-z0-9]+", 0, 40),
-    ("slack", "xox[abeprs]-[A-Za-z0-9-]+", 0, 15),
-    ("stripe", "[rs]k_(live|test)_[A-Za-z0-9]+", 0, 24),
-    ("google", "AIza[A-Za-z0-9_-]+", 0, 39),
-    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 33),
-    ("key_block", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 0, 0),
-]
-CHECKS["op3_secrets"] = f"""
-with texts as (select row_number() over () as doc_row, doc_id, coalesce(text, '') as t from documents),
-spans as ({" union all ".join(_secret_spans(k, i, p, g, n) for i, (k, p, g, n) in enumerate(_SECRET_SQL))}),
-told as (select doc_id, string_agg(kind || ':' || s || ':' || e, ',' order by s, place) as spans,
-    coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, place) filter (where place < 3), '') as base,
-    count(*) filter (where place = 0) as n_assign, count(*) filter (where place = 1) as n_access, count(*) filter (where place = 2) as n_hex
-    from spans group by doc_id)
-select texts.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
-    sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
-from texts left join told using (doc_id)"""
-
-
 @query
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("bound")
@@ -172,6 +134,26 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+CHECKS["op11_fill_in_middle"] = """
+with drawn as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+numbers as (select doc_id, t, length(t)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+    ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from drawn),
+cuts as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+         when h4 % 100 < 20 then 'spm' else 'psm' end as form from numbers),
+parts as (select *, substr(t, 1, a) as p, substr(t, a + 1, b - a) as m, substr(t, b + 1) as s from cuts)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+    sha256(case form when 'plain' then t when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else '<P>' || p || '<S>' || s || '<M>' || m end) as output_sha256,
+    sha256(t) as restored_sha256
+from parts"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it uses this module
