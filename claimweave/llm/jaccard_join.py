@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from claimweave.checkpoints import new_folder
 from claimweave.llm.batches import text_slices, texts_of
 from claimweave.llm.shingles import mix, shingle_hashes, shingle_sets
-from claimweave.operators.components import components
+from claimweave.llm.components import components
 
 #: Hash buckets of the shingle histogram: its size never depends on the data.
 BUCKET_BITS = 20

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimweave.checkpoints import new_folder
-from claimweave.llm import conversations, exact_search, fill_middle, jaccard_join, languages, mixing, packing, permutation_index, secrets, token_store, toxicity, url_filters
+from claimweave.llm import chosen_path, conversations, exact_search, fill_middle, jaccard_join, languages, mixing, packing, permutation_index, secrets, token_store, toxicity, url_filters
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -159,6 +159,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audit(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op13_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it uses this module

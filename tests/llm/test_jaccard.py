@@ -6,7 +6,7 @@ import re
 import pytest
 
 from claimweave.llm import jaccard_join
-from claimweave.operators.components import components
+from claimweave.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
