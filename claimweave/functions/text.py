@@ -92,15 +92,16 @@ def estimate_tokens(c: Column) -> Column:
     return (han + F.ceil((F.length(c) - han) / 4)).cast("long")
 
 
-def sentence_with(c: Column, pattern: str) -> Column:
-    """Sentence holding the first match of the pattern, at most 200 characters, trimmed.
+def sentence_with(c: Column, pattern: str, longest: int | None = 200) -> Column:
+    """Sentence holding the first match of the pattern, at most ``longest`` characters (None: all), trimmed.
 
     Grown outward from the match, so the text is read once whatever its length.
     """
     at = F.instr(c, F.regexp_extract(c, pattern, 0))
     head = F.reverse(F.regexp_extract(F.reverse(F.substring(c, F.lit(1), at - 1)), f"^[^{SENTENCE_END}]*", 0))
     tail = F.regexp_extract(F.substring(c, at, F.length(c)), f"^[^{SENTENCE_END}]*[{SENTENCE_END}]?", 0)
-    return trim_space(F.substring(F.concat(head, tail), 1, 200))
+    whole = F.concat(head, tail)
+    return trim_space(whole if longest is None else F.substring(whole, 1, longest))
 
 
 def context_before(text: Column, start: Column, radius: int = 160) -> Column:

@@ -112,17 +112,22 @@ def validate_claims(proposals: DataFrame, snapshots: DataFrame, max_quotes: int
     )
 
 
-def theme_matches(themes: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Reviews that carry each proposed theme: grounded example quotes, else a named review's text.
-
-    ``themes``: theme_id, review_ids, examples (array of review_id, quote). One row per theme and
-    review; ``ok`` marks matches, ungrounded examples stay with ``ok`` false so they can be counted.
-    """
+def theme_mentions(themes: DataFrame) -> DataFrame:
+    """(theme_id, review_id, quote, named) of themes with arrays: review_ids and examples (review_id, quote)."""
     ex = themes.select("theme_id", F.explode("examples").alias("e")).select("theme_id", "e.review_id", "e.quote", F.lit(0).alias("named"))
     ids = themes.select("theme_id", F.explode("review_ids").alias("review_id")).select(
         "theme_id", "review_id", F.lit(None).cast("string").alias("quote"), F.lit(1).alias("named")
     )
-    j = ex.unionByName(ids).join(reviews.select("review_id", "text"), "review_id")
+    return ex.unionByName(ids)
+
+
+def theme_matches(mentions: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Reviews that carry each proposed theme: grounded example quotes, else a named review's text.
+
+    ``mentions`` as from theme_mentions; a theme may have any number of them. One row per theme and
+    review; ``ok`` marks matches, ungrounded examples stay with ``ok`` false so they can be counted.
+    """
+    j = mentions.join(reviews.select("review_id", "text"), "review_id")
     j = j.withColumn("quote", F.when(F.col("named") == 1, F.col("text")).otherwise(F.col("quote")))
     j = j.withColumn("ok", (F.col("named") == 1) | is_grounded(F.col("text"), F.col("quote"))).drop("text")
     # an example quote outranks the bare mention of the same review
@@ -133,9 +138,12 @@ def theme_matches(themes: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
-def validate_themes(themes: DataFrame, reviews: DataFrame, min_matches: int = 2) -> DataFrame:
-    """Themes with enough matches and a clear sentiment, with match and drop counts."""
-    counts = theme_matches(themes, reviews).groupBy("theme_id").agg(
+def validate_themes(themes: DataFrame, reviews: DataFrame, min_matches: int = 2, mentions: DataFrame | None = None) -> DataFrame:
+    """Themes with enough matches and a clear sentiment, with match and drop counts.
+
+    What the themes mention stands in their arrays, or in ``mentions`` where it is too much for a row.
+    """
+    counts = theme_matches(theme_mentions(themes) if mentions is None else mentions, reviews).groupBy("theme_id").agg(
         F.count_if("ok").alias("n_matches"), F.sum("n_dropped").alias("n_dropped")
     )
     clear = F.when(F.col("sentiment").isin("positive", "negative"), F.col("sentiment")).otherwise("mixed")

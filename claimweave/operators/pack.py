@@ -10,7 +10,7 @@ from claimweave.operators.ranking import top_per_key
 from claimweave.operators.roles import avoid_list, strength_rank
 from claimweave.operators.scoring import TRUSTED_STATES
 
-BUDGET_MIN, BUDGET_MAX, BUDGET_DEFAULT = 800, 32_000, 6000
+BUDGET_DEFAULT = 6000
 QUOTA = {"facts": 0.5, "opinions": 0.35, "insights": 0.15}
 META_TOKENS = 4
 
@@ -19,9 +19,11 @@ def section_of(claim_type: Column) -> Column:
     return F.when(claim_type == "official_fact", "facts").when(claim_type == "player_opinion", "opinions").otherwise("insights")
 
 
-def pack_requests(requests: DataFrame) -> DataFrame:
-    """Requests (request_id, project_id, budget, min_band, focus, has_task) with the budget in bounds."""
-    budget = F.least(F.greatest(F.coalesce("budget", F.lit(BUDGET_DEFAULT)), F.lit(BUDGET_MIN)), F.lit(BUDGET_MAX))
+def pack_requests(requests: DataFrame, least: int | None = None, most: int | None = None) -> DataFrame:
+    """Requests (request_id, project_id, budget, min_band, focus, has_task); the budget is as asked, within bounds only if given."""
+    budget = F.coalesce("budget", F.lit(BUDGET_DEFAULT))
+    budget = budget if least is None else F.greatest(budget, F.lit(least))
+    budget = budget if most is None else F.least(budget, F.lit(most))
     return requests.withColumn("budget", budget.cast("long"))
 
 

@@ -123,7 +123,7 @@ def genre_hooks(text: Column) -> Column:
     return F.when(label == "", _words([PLAIN_GENRE])).otherwise(parts)
 
 
-def angle_candidates(claims: DataFrame) -> DataFrame:
+def angle_candidates(claims: DataFrame, shown_chars: int = 30) -> DataFrame:
     """Every angle a claim can give, before the gate.
 
     ``claims``: claim_id, project_id, claim_type, topic, text, confidence_band, review_state,
@@ -133,7 +133,7 @@ def angle_candidates(claims: DataFrame) -> DataFrame:
     strong = F.col("confidence_band").isin("verified", "likely")
     trusted = strong & F.col("review_state").isin(TRUSTED_STATES)
     text, kind = F.col("text"), F.col("claim_type")
-    shown = F.concat(F.substring(text, 1, 30), F.lit("…"))
+    shown = F.concat(F.substring(text, 1, shown_chars), F.lit("…"))
 
     def angle(dim: Column, tactic: Column, key: Column | str, hooks: Column, strength: Column, why: Column) -> Column:
         label = key if isinstance(key, Column) else F.lit(ANGLE[key])

@@ -117,14 +117,15 @@ def leader_clusters(
     order: str,
     text: str = "text",
     groups: Sequence[str] = (),
-    short_text: int | None = SHORT_TEXT,
+    short_text: int | None = None,
     jaccard_min: float = JACCARD_MIN,
     hamming_max: int = HAMMING_MAX,
     pivots: int = 32,
 ) -> DataFrame:
     """(groups, item, cluster): the cluster is the id of its first member.
 
-    ``short_text`` None compares everything by Jaccard. ``pivots`` is how many undecided items of a
+    ``short_text`` None compares everything by Jaccard; with a length, texts from it on count as copies by
+    simhash distance instead. ``pivots`` is how many undecided items of a
     key meet each other in the first round, doubled in every further one; it doesn't change the result.
     """
     grp = F.struct(*groups) if groups else F.lit(0)
@@ -189,7 +190,8 @@ def with_cluster_size(clusters: DataFrame, groups: Sequence[str] = ()) -> DataFr
 
 
 def syndicated(
-    snapshots: DataFrame, groups: Sequence[str] = ("project_id",), order: str = "snapshot_id", doc_types: Sequence[str] = NARRATIVE_TYPES
+    snapshots: DataFrame, groups: Sequence[str] = ("project_id",), order: str = "snapshot_id", doc_types: Sequence[str] = NARRATIVE_TYPES,
+    short_text: int | None = None,
 ) -> DataFrame:
     """Narrative snapshots that belong to a cluster of copies; whole texts are compared.
 
@@ -197,7 +199,7 @@ def syndicated(
     """
     if "doc_type" in snapshots.columns:
         snapshots = snapshots.filter(F.col("doc_type").isin(list(doc_types)))
-    clusters = leader_clusters(snapshots, "snapshot_id", order, "text", groups)
+    clusters = leader_clusters(snapshots, "snapshot_id", order, "text", groups, short_text)
     return with_cluster_size(clusters, groups).filter(F.col("cluster_size") > 1)
 
 
@@ -235,9 +237,9 @@ def burst_share(items: DataFrame, keys: Sequence[str], ts: str, hours: int = 24,
     return out.withColumn("burst_ratio", F.when(F.col("n_dated") >= 5, F.col("max_in_window") / F.col("n_dated")).otherwise(0.0))
 
 
-def astroturf(items: DataFrame, source: str, item: str, text: str, ts: str, order: str) -> tuple[DataFrame, DataFrame]:
+def astroturf(items: DataFrame, source: str, item: str, text: str, ts: str, order: str, short_text: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Per source: duplicate share, burst share and batch score; and the items in duplicate clusters."""
-    sized = with_cluster_size(leader_clusters(items, item, order, text, (source,)), (source,))
+    sized = with_cluster_size(leader_clusters(items, item, order, text, (source,), short_text), (source,))
     dup = sized.groupBy(source).agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("cluster_size") > 1).alias("n_dup"))
     out = dup.filter(F.col("n_items") >= 5).join(burst_share(items, [source], ts), source, "left")
     d, b = F.col("n_dup") / F.col("n_items"), F.coalesce("burst_ratio", F.lit(0.0))

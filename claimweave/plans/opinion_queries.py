@@ -83,7 +83,7 @@ def opinion_evidence(t: Tables) -> DataFrame:
 
 @query(
     "quoted_opinions",
-    f"SELECT lang, aspect, sentiment FROM (SELECT lang, aspect, sentiment, count(*) AS n, count(*) FILTER (WHERE doc_id % 40 = 0) AS q FROM ({HITS}) x GROUP BY ALL) y WHERE n >= 3 AND q >= 2",
+    f"SELECT lang, aspect, sentiment FROM (SELECT lang, aspect, sentiment, count(*) AS n, count(*) AS q FROM ({HITS}) x GROUP BY ALL) y WHERE n >= 3 AND q >= 2",
 )
 def quoted_opinions(t: Tables) -> DataFrame:
     """Opinions of which at least two quotes are found again in their reviews."""

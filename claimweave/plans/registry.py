@@ -26,10 +26,13 @@ AS_OF = "2001-12-31 00:00:00"
 TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
 
 
+#: Session setting: partitions to hash text tables into, for small files of one split; unset, tables stay as read.
+SPREAD = "spark.claimweave.textPartitions"
+
+
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash texts over the cores when they sit in fewer splits than that; larger inputs are left as read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    asked = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(asked), *keys) if asked else df
 
 
 def query(name: str, check: str | None = None) -> Callable[[Query], Query]:

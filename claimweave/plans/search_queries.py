@@ -40,18 +40,20 @@ JOIN (SELECT query_id, project_id AS only_project, term FROM {{x_qterms}}) q USI
 WHERE only_project IS NULL OR only_project = project_id GROUP BY query_id, {item}"""
 
 
-BIND["x_kw"] = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS pos FROM ({bm25_sql('text_claims', 'claim_id', 'text', 'project_id')}) s QUALIFY pos <= 50"
+BIND["x_shown"] = "SELECT claim_id, project_id, text, updated_at FROM {text_claims} WHERE merged_into IS NULL AND review_state IN ('auto_accepted', 'approved') AND rank <> 'deprecated'"
+BIND["x_kw"] = f"SELECT query_id, claim_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS pos FROM ({bm25_sql('text_claims', 'claim_id', 'text', 'project_id')}) s JOIN {{x_shown}} USING (claim_id)"
 BIND["search_evidence"] = "SELECT e.evidence_id, e.source_id, e.quote, CAST(NULL AS STRING) AS project_id FROM {text_evidence} e"
 BIND["open_searches"] = "SELECT query_id, query, CAST(NULL AS STRING) AS project_id FROM {searches}"
 BIND["x_ev"] = f"""
-SELECT query_id, claim_id, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, claim_id) AS pos FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) AS ep FROM ({bm25_sql('search_evidence', 'evidence_id', 'quote', 'NULL').replace("WHERE only_project IS NULL OR only_project = project_id", "")}) s QUALIFY ep <= 200) t
-JOIN {{text_links}} l USING (evidence_id) GROUP BY query_id, claim_id QUALIFY pos <= 50
+SELECT query_id, claim_id, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, claim_id) AS pos
+FROM ({bm25_sql('search_evidence', 'evidence_id', 'quote', 'NULL').replace("WHERE only_project IS NULL OR only_project = project_id", "")}) s
+JOIN {{text_links}} l USING (evidence_id) JOIN {{x_shown}} c USING (claim_id) JOIN {{searches}} q USING (query_id)
+WHERE q.project_id IS NULL OR q.project_id = c.project_id GROUP BY query_id, claim_id
 """
 BIND["x_sub"] = """
-SELECT query_id, claim_id, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, claim_id) AS pos FROM {searches} q JOIN {text_claims} c
+SELECT query_id, claim_id, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, claim_id) AS pos FROM {searches} q JOIN {x_shown} c
  ON contains(lower(c.text), lower(trim(q.query))) AND (q.project_id IS NULL OR q.project_id = c.project_id)
-WHERE length(trim(q.query)) >= 2 AND (SELECT count(*) FROM {x_kw} k WHERE k.query_id = q.query_id) < 5 QUALIFY pos <= 30
+WHERE length(trim(q.query)) >= 2
 """
 BIND["x_fused"] = """
 SELECT query_id, claim_id, sum(1.0::DOUBLE / (60 + pos)) AS base, string_agg(DISTINCT via, ',' ORDER BY via) AS via FROM (
@@ -66,22 +68,23 @@ SELECT query_id, claim_id, via, score, row_number() OVER (PARTITION BY query_id
 
 @query("keyword_rank", "SELECT query_id, claim_id, score, pos FROM {x_kw}")
 def keyword_rank(t: Tables) -> DataFrame:
-    return J.keyword_rank(t.text_claims, t.searches, shown=J.eligible(t.text_claims)).select("query_id", "claim_id", "score", "pos")
+    return J.text_rank(J.claim_index(t.text_claims), t.searches, J.eligible(t.text_claims)).select("query_id", "claim_id", "score", "pos")
 
 
 @query("evidence_rank", "SELECT query_id, claim_id, score, pos FROM {x_ev}")
 def evidence_rank(t: Tables) -> DataFrame:
-    ranked = J.evidence_rank(t.search_evidence, t.text_links, t.searches, J.eligible(t.text_claims))
-    return ranked.select("query_id", "claim_id", "score", "pos")
+    index = J.evidence_index(t.text_evidence, t.text_links)
+    return J.text_rank(index, t.searches, J.eligible(t.text_claims)).select("query_id", "claim_id", "score", "pos")
 
 
 @query("substring_rank", "SELECT query_id, claim_id, pos FROM {x_sub}")
 def substring_rank(t: Tables) -> DataFrame:
-    return J.substring_rank(J.eligible(t.text_claims), t.searches).select("query_id", "claim_id", "pos")
+    return J.substring_rank(J.claim_index(t.text_claims), t.searches, J.eligible(t.text_claims)).select("query_id", "claim_id", "pos")
 
 
 def hits(t: Tables) -> DataFrame:
-    return J.search(t.text_claims, t.search_evidence, t.text_links, t.searches, NOW)
+    quotes = J.evidence_index(t.text_evidence, t.text_links)
+    return J.search(t.text_claims, J.claim_index(t.text_claims), quotes, t.searches, NOW)
 
 
 @query("fused_search", "SELECT query_id, claim_id, via AS matched_via, score, pos FROM {x_hits}")
@@ -91,7 +94,7 @@ def fused_search(t: Tables) -> DataFrame:
 
 @query(
     "search_isolation",
-    "SELECT q.query_id, count(*) AS n_hits, 0::BIGINT AS n_foreign FROM {searches} q JOIN {x_hits} h USING (query_id) WHERE q.project_id IS NOT NULL GROUP BY q.query_id",
+    "SELECT q.query_id, count(*) AS n_hits, count(*) FILTER (WHERE c.project_id <> q.project_id) AS n_foreign FROM {searches} q JOIN {x_hits} h USING (query_id) JOIN {text_claims} c USING (claim_id) WHERE q.project_id IS NOT NULL GROUP BY q.query_id",
 )
 def search_isolation(t: Tables) -> DataFrame:
     """Hits of queries that name a project, and how many of them belong to another one."""

@@ -198,10 +198,10 @@ def parse_preview(t: Tables) -> DataFrame:
 
 @query(
     "imported_reviews",
-    f"SELECT 'web://import/r1/review/' || conv_id || '-' || turn AS canonical_url, 'web_reviews_import' AS owner_key, {Q.trim_space('text')} AS text, 0.4::DOUBLE AS authority_prior FROM {{conversations}} WHERE role = 'user' AND length({Q.trim_space('text')}) >= 6",
+    f"SELECT 'web://import/r1/review/' || conv_id || '-' || turn AS canonical_url, 'web_reviews_import' AS owner_key, {Q.trim_space('text')} AS text, 0.4::DOUBLE AS authority_prior FROM {{conversations}} WHERE length({Q.trim_space('text')}) >= 6",
 )
 def imported_reviews(t: Tables) -> DataFrame:
-    who = t.conversations.filter(F.col("role") == "user")
+    who = t.conversations
     key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     parsed = RV.review_json(who.select(F.to_json(F.struct("text", key.alias("id"))).alias("payload")), "payload", [])
     return RV.imported_reviews(parsed, "web", "r1").select("canonical_url", "owner_key", "text", "authority_prior")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from claimweave.checkpoints import new_folder
+from claimweave.operators.search_index import TextIndex
 from claimweave.plans.registry import Tables, query
 from claimweave.plans.merge_queries import REPEATS
 from claimweave.plans.search_queries import TERMS
@@ -17,7 +18,7 @@ from claimweave.streaming import jobs as ST
 DAYS = ["2024-01-11", "2024-01-21"]
 
 
-def arrive(t: Tables, df: DataFrame, by: str, cuts: list, start: Callable[[DataFrame], StreamingQuery], out: str) -> DataFrame:
+def arrive(t: Tables, df: DataFrame, by: str, cuts: list, start: Callable[[DataFrame], StreamingQuery], out: str | None) -> DataFrame | None:
     """Let a table arrive in parts: write one, run the job over what is new, write the next.
 
     Every run resumes from the same offsets, so each part is one micro-batch of one continuing query.
@@ -32,7 +33,7 @@ def arrive(t: Tables, df: DataFrame, by: str, cuts: list, start: Callable[[DataF
             part = part.filter(F.col(by) < F.lit(hi))
         part.write.mode("append").parquet(folder)
         start(ST.file_stream(t.spark, folder, df)).awaitTermination()
-    return t.spark.read.parquet(out)
+    return None if out is None else t.spark.read.parquet(out)
 
 
 def folders(t: Tables, label: str) -> tuple[str, str, str]:
@@ -102,5 +103,6 @@ def event_page(t: Tables) -> DataFrame:
 def incremental_refresh(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", F.col("lang").alias("project_id"), "text", "n_chars")
     out, _, offsets = folders(t, "index")
-    index = arrive(t, docs, "n_chars", [800, 2000], lambda s: ST.index_refresh(s, "doc_id", out, offsets), out)
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_uses"))
+    index = TextIndex(t.spark)
+    arrive(t, docs, "n_chars", [800, 2000], lambda s: ST.index_refresh(s, index, "doc_id", offsets), None)
+    return index.uses().groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_uses"))

@@ -72,7 +72,7 @@ def leader_check(group: str, dup: str = DUP) -> str:
 
 @query("near_dup_clusters", leader_check("") + "SELECT doc_id, cluster FROM clusters")
 def near_dup_clusters(t: Tables) -> DataFrame:
-    return N.leader_clusters(t.documents, "doc_id", "doc_id").select("doc_id", "cluster")
+    return N.leader_clusters(t.documents, "doc_id", "doc_id", short_text=N.SHORT_TEXT).select("doc_id", "cluster")
 
 
 @query(
@@ -81,7 +81,7 @@ def near_dup_clusters(t: Tables) -> DataFrame:
 )
 def syndication(t: Tables) -> DataFrame:
     snaps = t.documents.select(F.col("lang").alias("project_id"), F.col("doc_id").alias("snapshot_id"), "text")
-    return N.syndicated(snaps).select("project_id", "snapshot_id", "cluster", "cluster_size")
+    return N.syndicated(snaps, short_text=N.SHORT_TEXT).select("project_id", "snapshot_id", "cluster", "cluster_size")
 
 
 CLAIM_DUP = "len(list_intersect(a.toks, b.toks)) >= 0.7::DOUBLE * (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks)))"
@@ -112,7 +112,7 @@ ASTRO = leader_check("source") + f""", dup AS (SELECT source, count(*) AS n_item
 
 
 def astro(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return N.astroturf(t.dated_docs, "source", "doc_id", "text", "ts", "doc_id")
+    return N.astroturf(t.dated_docs, "source", "doc_id", "text", "ts", "doc_id", N.SHORT_TEXT)
 
 
 @query(
@@ -143,7 +143,7 @@ def burst_24h(t: Tables) -> DataFrame:
 
 
 BIND["recent_texts"] = "SELECT c.conv_id % 4 AS project_id, c.role AS topic, c.conv_id * 100 + c.turn AS claim_id, e.ts AS updated_at, c.text FROM {conversations} c JOIN {events} e ON e.event_id = c.conv_id"
-BIND["x_recent"] = f"SELECT *, list_distinct({Q.shingles('text')}) AS toks FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY updated_at DESC, claim_id) AS pos FROM {{recent_texts}}) x WHERE pos <= 60"
+BIND["x_recent"] = f"SELECT *, list_distinct({Q.shingles('text')}) AS toks FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY updated_at DESC, claim_id) AS pos FROM {{recent_texts}}) x"
 
 
 @query(
@@ -231,24 +231,22 @@ def validate_claims(t: Tables) -> DataFrame:
 @query(
     "validate_themes",
     """SELECT e.event_id AS theme_id, CASE e.event_id % 3 WHEN 0 THEN 'positive' ELSE 'negative' END AS sentiment,
-  count(c.conv_id) FILTER (WHERE c.turn IN (0, 1) OR c.turn = 2) AS n_matches, count(c.conv_id) FILTER (WHERE c.turn IN (1, 3)) AS n_dropped
- FROM {events} e JOIN {conversations} c ON c.conv_id = e.event_id AND c.turn < 4 WHERE e.event_id % 3 < 2
- GROUP BY e.event_id HAVING count(*) FILTER (WHERE c.turn IN (0, 1, 2)) >= 2""",
+  count(*) FILTER (WHERE c.turn % 2 = 0 OR c.turn = 1) AS n_matches, count(*) FILTER (WHERE c.turn % 2 = 1) AS n_dropped
+ FROM {events} e JOIN {conversations} c ON c.conv_id = e.event_id WHERE e.event_id % 3 < 2
+ GROUP BY e.event_id HAVING count(*) FILTER (WHERE c.turn % 2 = 0 OR c.turn = 1) >= 2""",
 )
 def validate_themes(t: Tables) -> DataFrame:
+    """Every turn of a conversation is an example: even turns quote themselves with other blanks, odd ones a made-up line."""
     c = F.col
-    rid = lambda turn: c("event_id") * 1000 + F.lit(turn)
-    said = t.conversations.select((c("conv_id") * 1000 + c("turn")).alias("review_id"), "text")
-    openings = t.conversations.filter("turn = 0").select(c("conv_id").alias("event_id"), c("text").alias("t0"))
-    thirds = t.conversations.filter("turn = 2").select(c("conv_id").alias("event_id"), c("text").alias("t2"))
-    ex = lambda turn, quote: F.struct(rid(turn).alias("review_id"), quote.alias("quote"))
-    junk = F.lit("nobody wrote this line")
+    rid = c("conv_id") * 1000 + c("turn")
+    said = t.conversations.select(rid.alias("review_id"), "text")
+    quote = F.when(c("turn") % 2 == 0, F.replace("text", F.lit(" "), F.lit("  "))).otherwise("nobody wrote this line")
+    turns = t.conversations.select(c("conv_id").alias("theme_id"), rid.alias("review_id"), quote.alias("quote"), "turn")
+    opens = turns.filter("turn < 2").select("theme_id", "review_id", F.lit(None).cast("string").alias("quote"), F.lit(1).alias("named"))
+    mentions = turns.select("theme_id", "review_id", "quote", F.lit(0).alias("named")).unionByName(opens)
     mood = F.when(c("event_id") % 3 == 0, "positive").when(c("event_id") % 3 == 1, "negative").otherwise("unsure")
-    themes = t.events.select("event_id").join(openings, "event_id").join(thirds, "event_id", "left").select(
-        c("event_id").alias("theme_id"), mood.alias("sentiment"), F.array(rid(0), rid(1)).alias("review_ids"),
-        F.array(ex(0, c("t0")), ex(1, junk), ex(2, F.replace(F.coalesce("t2", F.lit("gone")), F.lit(" "), F.lit("  "))), ex(3, junk)).alias("examples"),
-    )
-    return G.validate_themes(themes, said).select("theme_id", "sentiment", "n_matches", "n_dropped")
+    themes = t.events.select(c("event_id").alias("theme_id"), mood.alias("sentiment"))
+    return G.validate_themes(themes, said, mentions=mentions).select("theme_id", "sentiment", "n_matches", "n_dropped")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,9 @@ def local_session(name: str, cpus: str | None = None) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CLAIMWEAVE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.claimweave.textPartitions", cores)
+        .config("spark.checkpoint.dir", os.environ.get("CLAIMWEAVE_CHECKPOINTS") or tempfile.mkdtemp(prefix="claimweave-"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

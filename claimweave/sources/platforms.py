@@ -45,7 +45,7 @@ def top_posts(found: DataFrame, project: str, post: str, n: int) -> DataFrame:
     return top_per_key(kept, [project], [F.coalesce("engagement", F.lit(0)).desc(), F.col(post)], n)
 
 
-def post_rows(posts: DataFrame) -> DataFrame:
+def post_rows(posts: DataFrame, title_chars: int = 50) -> DataFrame:
     """Post bodies (platform, post_id, author, body) to community documents; HTML cleaned, short ones dropped."""
     text = F.when(F.col("platform") == "weibo", html_text(F.col("body"))).otherwise(trim_space(F.col("body")))
     out = posts.withColumn("text", text).filter(F.length("text") >= _by_platform(2))
@@ -55,7 +55,7 @@ def post_rows(posts: DataFrame) -> DataFrame:
         F.concat(_by_platform(1), F.col("post_id").cast("string")).alias("canonical_url"),
         F.concat(_by_platform(0), F.lit(":"), F.coalesce(author, F.col("post_id").cast("string"))).alias("owner_key"),
         _by_platform(3).alias("authority_prior"),
-        F.substring("text", 1, 50).alias("title"),
+        F.substring("text", 1, title_chars).alias("title"),
         "text",
     )
 

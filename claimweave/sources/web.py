@@ -49,8 +49,9 @@ def html_text(c: Column) -> Column:
     return trim_space(c)
 
 
-def html_title(c: Column) -> Column:
-    return F.substring(html_text(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1)), 1, 200)
+def html_title(c: Column, longest: int | None = 200) -> Column:
+    title = html_text(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return title if longest is None else F.substring(title, 1, longest)
 
 
 def page_text(html: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from claimweave.operators.merge import repeat_runs, snapshot_changes
-from claimweave.operators.search import postings
+from claimweave.operators.search_index import TextIndex
 
 DEFAULT_RPM, UNKNOWN_RPM = 120, 20
 Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
@@ -103,11 +103,11 @@ def change_step() -> Step:
     return step
 
 
-def index_refresh(stream: DataFrame, item: str, out: str, checkpoint: str, text: str = "text") -> StreamingQuery:
-    """Add the index rows of new texts only; earlier index files are left alone."""
+def index_refresh(stream: DataFrame, index: TextIndex, item: str, checkpoint: str, text: str = "text") -> StreamingQuery:
+    """Append new texts to the index that searches read; a replayed batch counts once."""
 
     def save(batch: DataFrame, number: int) -> None:
-        postings(batch, item, text).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        index.append(batch.withColumn("claim_id", F.col(item)), item, text, batch=str(number))
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
