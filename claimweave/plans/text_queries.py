@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from claimweave.functions import text as X
 from claimweave.operators import audit as A, grounding as G, merge as M, similarity as N
+from claimweave.operators.passages import passages_in_texts
 from claimweave.plans import sqltext as Q
 from claimweave.plans.registry import BIND, Tables, query
 
@@ -249,6 +250,17 @@ def validate_themes(t: Tables) -> DataFrame:
     return G.validate_themes(themes, said, mentions=mentions).select("theme_id", "sentiment", "n_matches", "n_dropped")
 
 
+@query(
+    "passages_in_documents",
+    f"""SELECT item_id, doc_id, CASE WHEN hit > 0 THEN 'exact' ELSE 'normalized' END AS method FROM (
+ SELECT item_id, doc_id, CASE WHEN q = '' THEN 0 ELSE strpos(text, q) END AS hit, length(nq) >= 4 AND contains(nt, nq) AS loose
+ FROM (SELECT item_id, {Q.trim_space('text')} AS q, {Q.match_normalize(Q.trim_space('text'))} AS nq FROM {{benchmark}}) b,
+      (SELECT doc_id, text, {Q.match_normalize('text')} AS nt FROM {{documents}}) d) x WHERE hit > 0 OR loose""",
+)
+def passages_in_documents(t: Tables) -> DataFrame:
+    return passages_in_texts(t.benchmark, t.documents).select("item_id", "doc_id", "method")
+
+
 @query(
     "validate_enums",
     "SELECT event_id, CASE WHEN event_type = 'view' THEN 'conflict' ELSE 'compatible' END AS verdict, CASE WHEN event_type = 'click' THEN 'covered' ELSE 'partial' END AS status, coalesce(CASE WHEN event_id % 2 = 0 THEN false END, true) AS sufficient, '' AS reason FROM {events}",
