@@ -131,7 +131,8 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ","))
 
 
 @query

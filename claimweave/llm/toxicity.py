@@ -8,14 +8,17 @@ word, its prefixes of 3, 4 and 5 bytes, and the 4-byte prefixes of its neighbour
 2. In a sample of labelled documents bounded by ``sample_docs``, a token of a toxic document is
    labelled toxic if its word or one of its prefixes is far more frequent in toxic documents; all
    other tokens are labelled clean.
-3. The field is trained on these tokens by gradient ascent on the likelihood (forward-backward).
+3. The field is trained on these tokens by gradient ascent on the likelihood (forward-backward), from
+   weights that the whole counts suggest, so a word no sampled document has still counts.
 4. Forward-backward marginals of every token of every document give the expected number of toxic
    tokens and the surest one; a logistic model over them, fitted on the same sample with the weights
    of the whole table, gives the score. Tokens with a marginal of a half or more make the spans.
 
 Null or empty texts have no token; their score is what the logistic model says without evidence (0 if
 nothing was labelled). Null labels and null ids are not learned from. Repeated rows get equal answers;
-repeated label rows of an id count once, toxic if any says so. Empty tables give no rows.
+repeated label rows of an id count once, toxic if any says so. Very long texts, with or without
+sentence ends, take time in proportion to their length. Ties don't arise (a half counts as toxic). Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +42,10 @@ SAMPLE_DOCS = 1200
 #: A feature marks tokens as toxic from this log ratio of rates on, if chance hardly explains it: the log
 #: likelihood it gains must exceed what the luckiest of all features would gain.
 LEAST_RATIO = 3.0
+#: Tokens of a chain that are walked through one by one.
+BLOCK = 256
+#: The weight that a marked feature has before training, for a log ratio of one, and up to which ratio it grows.
+PRIOR_WEIGHT, PRIOR_RATIO = 0.5, 4.0
 LEAST_GAIN = BITS * np.log(2)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,30 +112,58 @@ def tokens_of(texts: pa.Array) -> Tokens:
     return Tokens(starts - offsets[text], length, text, np.cumsum(new) - 1, feature, len(lower))
 
 
-def marginals(score: np.ndarray, chain: np.ndarray, bonds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marginals(score: np.ndarray, chain: np.ndarray, bonds: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Chance that each token is toxic, and expected numbers of the four kinds of neighbours (from, to).
 
     score: how much more toxic than clean each token looks by itself; bonds: log weights (from, to).
-    All chains run side by side, the longest first, so that a step touches only chains still running.
+    Chains are cut into blocks that run side by side, the longest first. What a block does to the state
+    before it is a 2 x 2 matrix; these carry the state from block to block, so cutting changes nothing
+    and the longest chain costs as many steps as a block has tokens, and one for each of its blocks.
     """
     n = len(score)
     if not n:
         return np.zeros(0), np.zeros((2, 2))
-    first = np.flatnonzero(np.diff(chain, prepend=-1))
+    opens = np.diff(chain, prepend=-1) != 0
+    place = np.arange(n) - np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+    first = np.flatnonzero(place % block == 0)
     length = np.diff(np.append(first, n))
+    nth = place[first] // block  # of its chain
+    last = np.append(nth[1:] == 0, True)
     order = np.argsort(-length, kind="stable")
-    first, length = first[order], length[order]
-    running = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
+    start, size = first[order], length[order]
+    running = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
     weight = np.exp(bonds)
     local = np.stack([1 / (1 + np.exp(np.clip(score, -30, 30))), 1 / (1 + np.exp(-np.clip(score, -30, 30)))], axis=1)
+    before, after = np.ones((len(first), 2)), np.ones((len(first), 2))
+    if not last.all() or nth.any():
+        long = order[np.isin(np.cumsum(nth == 0)[order], np.cumsum(nth == 0)[nth > 0])]
+        acts = np.zeros((len(first), 2, 2))
+        # the first token of a chain has no bond before it
+        bond = np.where((nth[long] == 0)[:, None, None], np.eye(2)[None], weight[None])
+        acts[long] = bond * local[first[long]][:, None, :]
+        for t in range(1, int(size[0])):
+            long = long[: np.searchsorted(-length[long], -(t + 1), side="right")]
+            step = (acts[long] @ weight) * local[first[long] + t][:, None, :]
+            acts[long] = step / step.sum(axis=(1, 2), keepdims=True)
+        for k in range(1, int(nth.max()) + 1):
+            at = np.flatnonzero(nth == k)
+            step = np.einsum("bi,bij->bj", before[at - 1], acts[at - 1])
+            before[at] = step / step.sum(axis=1, keepdims=True)
+        for k in range(int(nth.max()) - 1, -1, -1):
+            at = np.flatnonzero((nth == k) & ~last)
+            step = np.einsum("bij,bj->bi", acts[at + 1], after[at + 1])
+            after[at] = step / step.sum(axis=1, keepdims=True)
     forward, backward = local.copy(), np.ones((n, 2))
-    for t in range(1, int(length[0])):
-        at = first[: running[t]] + t
+    carried = nth > 0
+    forward[first[carried]] = (before[carried] @ weight) * local[first[carried]]
+    forward[first] /= forward[first].sum(axis=1, keepdims=True)
+    for t in range(1, int(size[0])):
+        at = start[: running[t]] + t
         step = (forward[at - 1] @ weight) * local[at]
         forward[at] = step / step.sum(axis=1, keepdims=True)
-    forward[first] /= forward[first].sum(axis=1, keepdims=True)
-    for t in range(int(length[0]) - 2, -1, -1):
-        at = first[: running[t + 1]] + t
+    backward[first + length - 1] = after
+    for t in range(int(size[0]) - 2, -1, -1):
+        at = start[: running[t + 1]] + t
         step = (backward[at + 1] * local[at + 1]) @ weight.T
         backward[at] = step / step.sum(axis=1, keepdims=True)
     both = forward * backward
@@ -185,19 +220,22 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return seen[1], seen[0], found[0]["toxic"], found[0]["clean"]
 
 
-def _train_field(t: Tokens, gold: np.ndarray, rounds: int, penalty: float = 0.05) -> tuple[np.ndarray, float, np.ndarray]:
-    """Feature weights, bias and bonds that make the labelled tokens likely (gradient ascent with a step size for each weight)."""
-    weights, bonds = np.zeros(1 << BITS), np.zeros((2, 2))
+def _train_field(t: Tokens, gold: np.ndarray, rounds: int, prior: np.ndarray, penalty: float = 0.05) -> tuple[np.ndarray, float, np.ndarray]:
+    """Feature weights, bias and bonds that make the labelled tokens likely (gradient ascent with a step size for each weight).
+
+    Weights start from ``prior`` and are drawn back to it, so a feature no sampled document has keeps it.
+    """
+    weights, bonds = prior.copy(), np.zeros((2, 2))
     bias = float(np.log((gold.sum() + 1) / (len(gold) + 1)))
     inner = np.flatnonzero(np.diff(t.chain) == 0)
     actual = np.zeros((2, 2))
     np.add.at(actual, (gold[inner], gold[inner + 1]), 1)
     used = np.unique(t.feature)
     flat = np.searchsorted(used, t.feature).astype(np.int32)
-    own, mean, spread = np.zeros(len(used)), np.zeros(len(used) + 4), np.zeros(len(used) + 4)
+    own, mean, spread = prior[used], np.zeros(len(used) + 4), np.zeros(len(used) + 4)
     for k in range(1, rounds + 1):
         chance, expected = marginals(sum(own[flat[:, i]] for i in range(FEATURES)) + bias, t.chain, bonds)
-        slope = sum(np.bincount(flat[:, i], weights=gold - chance, minlength=len(used)) for i in range(FEATURES)) - penalty * own
+        slope = sum(np.bincount(flat[:, i], weights=gold - chance, minlength=len(used)) for i in range(FEATURES)) - penalty * (own - prior[used])
         slope = np.concatenate([slope, (actual - expected).ravel() - penalty * bonds.ravel()])
         mean = 0.9 * mean + 0.1 * slope
         spread = 0.99 * spread + 0.01 * slope * slope
@@ -239,13 +277,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, roun
     toxic = sample.column("toxic").to_numpy()
     t = tokens_of(texts)
     gold = (marked[t.feature[:, :4]].any(axis=1) & (toxic[t.text] == 1)).astype(np.int64)
-    model = Model(*_train_field(t, gold, rounds), np.zeros(4))
+    prior = np.where(marked, PRIOR_WEIGHT * np.minimum(ratio, PRIOR_RATIO), 0.0)
+    prior[0] = 0.0
+    model = Model(*_train_field(t, gold, rounds, prior), np.zeros(4))
     _, evidence = model.tag(t)
     share = np.where(toxic == 1, n_toxic / max(1, (toxic == 1).sum()), n_clean / max(1, (toxic == 0).sum()))
     model.final = _train_final(evidence, toxic, share)
     return model
 
 
+def _code_points(texts: pa.Array, t: Tokens, at: np.ndarray) -> tuple[list[int], list[int]]:
+    """Starts and ends of tokens in code points of their text; one running count over all the bytes."""
+    lower = pc.utf8_lower(texts)
+    offsets = np.frombuffer(lower.buffers()[1], dtype=np.int64)[lower.offset : lower.offset + len(lower) + 1]
+    data = np.frombuffer(lower.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    opened = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    base = (offsets - offsets[0])[t.text[at]]
+    start = base + t.start[at]
+    return (opened[start] - opened[base]).tolist(), (opened[start + t.length[at]] - opened[base]).tolist()
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score, spans): spans as (start, end) in code points of the tokens that are likelier toxic than not."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two constant-size arrays
@@ -259,10 +310,9 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 t = tokens_of(texts)
                 chance, evidence = field.tag(t)
                 scores = field.score(evidence)
-                for i in np.flatnonzero(chance >= 0.5).tolist():
-                    data = pc.utf8_lower(texts.slice(int(t.text[i]), 1))[0].as_py().encode()
-                    a = len(data[: t.start[i]].decode())
-                    spans[t.text[i]].append({"start": a, "end": a + len(data[t.start[i] : t.start[i] + t.length[i]].decode())})
+                at = np.flatnonzero(chance >= 0.5)
+                for i, a, b in zip(t.text[at].tolist(), *_code_points(texts, t, at), strict=True):
+                    spans[i].append({"start": a, "end": b})
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
 
@@ -271,11 +321,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_spans): learned from labels of documents whose remainder by 5 is not 0."""
+    """(doc_id, held_out, score, predicted, n_spans, spans): learned from labels of documents whose remainder by 5 is not 0."""
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic")).filter((remainder != 0) & F.col("toxic").isin(0, 1))
     told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = fit(rows.filter(remainder != 0), told, sample_docs)
     found = score(rows, model)
-    return found.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return found.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), "spans")

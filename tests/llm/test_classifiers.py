@@ -42,6 +42,30 @@ def test_marginals_equal_enumeration():
     assert np.isclose(pairs[1, 1], both)
 
 
+def test_blocks_do_not_change_marginals():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    lengths = [1, 2, 3, 4, 5, 7, 8, 9, 40, 1, 23]
+    chain = np.repeat(np.arange(len(lengths)), lengths)
+    score, bonds = rnd.normal(size=len(chain)) * 2, rnd.normal(size=(2, 2))
+    want, both = toxicity.marginals(score, chain, bonds, 1000)
+    for block in (1, 2, 4, 7):
+        got, pairs = toxicity.marginals(score, chain, bonds, block)
+        assert np.allclose(got, want) and np.allclose(pairs, both)
+
+
+def test_long_text_without_sentence_ends(spark):
+    """5 MB, every token marked: linear time, offsets in code points."""
+    import numpy as np
+
+    weights = np.zeros(1 << toxicity.BITS)
+    model = toxicity.Model(weights, 3.0, np.zeros((2, 2)), np.zeros(4))
+    text = "wörter " * 700_000
+    (row,) = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).selectExpr("size(spans) n", "spans[699999] s").collect()
+    assert row["n"] == 700_000 and (row["s"]["start"], row["s"]["end"]) == (7 * 699_999, 7 * 699_999 + 6)
+
+
 def test_toxicity_on_planted_words(spark):
     rows = []
     for i in range(400):
