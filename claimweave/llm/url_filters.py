@@ -7,11 +7,14 @@ All other pages are judged by their host. Some pages have an outcome (bad or not
 domains and suffixes form levels; at each level, the spread of the outcome rates around the level
 above, beyond what chance explains, tells how much the units of that level have in common (the
 concentration of a beta prior). A suffix shrinks to the overall rate, a domain to its suffix, a host to
-its domain. A host is blocked if the lower bound of its posterior bad rate reaches ``block_from``.
+its domain. A host is blocked if the lower bound of its posterior odds of being bad reaches
+``block_odds`` times the overall odds, so what counts as bad follows the table. Public suffixes come
+from a table, or from a rule for country codes; addresses are domains of their own.
 
 Built from DataFrame functions only. A null url or one without ``://`` has an empty host and path, and
 is a host of its own; null outcomes and labels of unknown pages don't count. Repeated pages are pages,
-repeated labels of a document count once (bad if any is). Empty tables give no rows.
+repeated labels of a document count once (bad if any is). Very long urls are read by two linear
+patterns. Rules of equal length go by name. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,10 +32,15 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: Suffixes of two labels under which domains are registered.
-LONG_SUFFIXES = ["ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "org.au", "org.uk"]
-#: The bad rate whose lower bound blocks a host, and the bound's distance in standard deviations (one-sided 95 %).
-BLOCK_FROM = 0.5
+#: Without a table of suffixes: country codes register domains under these second labels (com.sg, co.il, org.nz, ...).
+SECOND_LABELS = "ac co com edu gob gov govt go gv id info ltd me mil ne net nom or org plc sch web".split()
+LONG_SUFFIX = rf"(?:^|\.)((?:{'|'.join(SECOND_LABELS)})\.[a-z][a-z])$"
+#: Hosts that are addresses: a domain of their own, under one suffix.
+ADDRESS = r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*\])$"
+ADDRESS_SUFFIX = "address"
+#: A host is blocked if the lower bound of its odds of being bad is so many times the overall odds.
+BLOCK_ODDS = 3.0
+#: The bound's distance in standard deviations (one-sided 95 %).
 DEVIATIONS = 1.645
 #: Concentration where the units of a level can't tell one.
 DEFAULT_CONCENTRATION = 10.0
@@ -57,12 +65,31 @@ def rule_of(rules=None) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _levels(hosts: DataFrame) -> DataFrame:
-    """Adds the registered domain and the suffix of each host."""
+def _levels(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Adds the registered domain and the suffix of each host (one row a host).
+
+    ``suffixes``: rows (suffix) of public suffixes; the longest that a host ends in counts, else its last
+    label. Without a table, SECOND_LABELS tell suffixes of two labels.
+    """
     bare = F.regexp_replace("host", r":[0-9]*$", "")
-    suffix = F.when(F.substring_index(bare, ".", -2).isin(LONG_SUFFIXES), F.substring_index(bare, ".", -2)).otherwise(F.substring_index(bare, ".", -1))
-    labels = F.when(suffix.contains("."), F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
-    return hosts.withColumn("suffix", suffix).withColumn("domain", labels)
+    last = F.substring_index(bare, ".", -1)
+    rows = hosts.withColumn("_bare", bare)
+    if suffixes is None:
+        long = F.regexp_extract(bare, LONG_SUFFIX, 1)
+        rows = rows.withColumn("suffix", F.when(long != "", long).otherwise(last))
+    else:
+        parts = F.split(bare, r"\.")
+        tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+        known = suffixes.select(F.lower("suffix").alias("tail")).distinct()
+        found = hosts.select("host", F.explode(tails).alias("tail")).join(known, "tail")
+        found = found.groupBy("host").agg(F.max_by("tail", F.length("tail")).alias("_found"))
+        rows = rows.join(found, "host", "left").withColumn("suffix", F.coalesce("_found", last)).drop("_found")
+    address = F.col("_bare").rlike(ADDRESS)
+    labels = F.size(F.split("suffix", r"\.")) + 1
+    parts = F.split("_bare", r"\.")
+    domain = F.array_join(F.slice(parts, F.greatest(F.size(parts) - labels + 1, F.lit(1)), labels), ".")
+    rows = rows.withColumn("domain", F.when(address, F.col("_bare")).otherwise(domain))
+    return rows.withColumn("suffix", F.when(address, ADDRESS_SUFFIX).otherwise(F.col("suffix"))).drop("_bare")
 
 
 def _concentration(units: DataFrame) -> DataFrame:
@@ -80,11 +107,11 @@ def _shrunk(units: DataFrame) -> DataFrame:
     return units.withColumn("strength", F.lit(strength)).withColumn("mean", (F.col("bad") + strength * F.col("above")) / (F.col("n") + strength))
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
-    """(host, n, bad, mean, bound) from (host, bad): bad is 1, 0 or null (no outcome)."""
+def reputations(outcomes: DataFrame, suffixes: DataFrame | None = None, block_odds: float = BLOCK_ODDS) -> DataFrame:
+    """(host, n, bad, mean, bound, bar) from (host, bad): bad is 1, 0 or null (no outcome); a bound from the bar on blocks."""
     counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     folder = new_folder(outcomes.sparkSession, "hosts")
-    _levels(counts).write.parquet(folder)
+    _levels(counts, suffixes).select("host", "n", "bad", "suffix", "domain").write.parquet(folder)
     hosts = outcomes.sparkSession.read.schema("host string, n long, bad long, suffix string, domain string").parquet(folder)
     n, bad = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     overall = (bad + 1) / (n + 2)
@@ -94,10 +121,11 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     domains = _shrunk(domains).select("suffix", "domain", F.col("mean").alias("above"))
     known = _shrunk(hosts.join(domains, ["suffix", "domain"]))
     spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("strength") + 1))
-    return known.select("host", "n", "bad", "mean", (F.col("mean") - DEVIATIONS * spread).alias("bound"))
+    bar = block_odds * overall / (1 - overall + block_odds * overall)
+    return known.select("host", "n", "bad", "mean", (F.col("mean") - DEVIATIONS * spread).alias("bound"), F.lit(bar).alias("bar"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, block_from: float = BLOCK_FROM) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, suffixes: DataFrame | None = None, block_odds: float = BLOCK_ODDS) -> DataFrame:
     """(page_id, host, path, rule, verdict, bound). A page's outcome is that of the document its path numbers: bad if toxic or of low quality."""
     placed = located(pages)
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), 0).cast("long").alias("bad"))
@@ -105,22 +133,24 @@ def judge(pages: DataFrame, labels: DataFrame, block_from: float = BLOCK_FROM) -
     number = F.expr("try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') as bigint)")
     outcomes = placed.select("host", number.alias("doc_id")).join(told, "doc_id", "left")
     folder = new_folder(pages.sparkSession, "reputations")
-    reputations(outcomes.select("host", "bad")).select("host", "bound").write.parquet(folder)
-    known = pages.sparkSession.read.schema("host string, bound double").parquet(folder)
+    reputations(outcomes.select("host", "bad"), suffixes, block_odds).select("host", "bound", "bar").write.parquet(folder)
+    known = pages.sparkSession.read.schema("host string, bound double, bar double").parquet(folder)
     rule, verdict = rule_of()
-    by_host = F.when(F.col("bound") >= block_from, "block").otherwise("allow")
+    by_host = F.when(F.col("bound") >= F.col("bar"), "block").otherwise("allow")
     return placed.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), "bound")
 
 
-def sql(block_from: float = BLOCK_FROM) -> str:
+def sql(block_odds: float = BLOCK_ODDS) -> str:
     """The same in DuckDB SQL, without the bound."""
     rules = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     fits = [(f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')", h + p, say) for say, h, p in rules]
     rule = "case " + " ".join(f"when {f} then '{r}'" for f, r, _ in fits) + " end"
     verdict = "case " + " ".join(f"when {f} then '{v}'" for f, _, v in fits) + " end"
-    longs = ", ".join(f"'{s}'" for s in LONG_SUFFIXES)
     bare = "regexp_replace(host, ':[0-9]*$', '')"
 
+    address = f"regexp_matches({bare}, '{ADDRESS}')"
+    long = f"regexp_extract({bare}, '{LONG_SUFFIX}', 1)"
+
     def tail(k: int) -> str:
         return f"array_to_string(list_slice(string_split({bare}, '.'), -{k}, -1), '.')"
 
@@ -134,7 +164,8 @@ with placed as (select page_id, coalesce(translate(regexp_extract(url, '^.*?://(
 told as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 when quality is not null and toxic is not null then 0 end) as bad from labels group by doc_id),
 outcomes as (select host, bad from placed left join told on told.doc_id = try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') as bigint)),
 h0 as (select host, count(bad)::bigint as n, coalesce(sum(bad), 0)::bigint as bad from outcomes group by host),
-hosts as (select *, case when {tail(2)} in ({longs}) then {tail(2)} else {tail(1)} end as suffix, case when {tail(2)} in ({longs}) then {tail(3)} else {tail(2)} end as domain from h0),
+hosts as (select *, case when {address} then '{ADDRESS_SUFFIX}' when {long} <> '' then {long} else {tail(1)} end as suffix,
+    case when {address} then {bare} when {long} <> '' then {tail(3)} else {tail(2)} end as domain from h0),
 s0 as (select suffix, sum(n) as n, sum(bad) as bad, (select (sum(bad) + 1) / (sum(n) + 2) from hosts) as above from hosts group by suffix),
 s1 as (select suffix, (bad + k * above) / (n + k) as above from s0, (select {strength('s0')} as k)),
 d0 as (select suffix, domain, sum(n) as n, sum(bad) as bad, any_value(above) as above from hosts join s1 using (suffix) group by suffix, domain),
@@ -142,5 +173,5 @@ d1 as (select suffix, domain, (bad + k * above) / (n + k) as above from d0, (sel
 u0 as (select host, n, bad, above from hosts join d1 using (suffix, domain)),
 u1 as (select host, n, k, (bad + k * above) / (n + k) as mean from u0, (select {strength('u0')} as k)),
 known as (select host, mean - {DEVIATIONS} * sqrt(mean * (1 - mean) / (n + k + 1)) as bound from u1)
-select page_id, host, path, {rule} as rule, coalesce({verdict}, case when bound >= {block_from} then 'block' else 'allow' end) as verdict
-from placed left join known using (host)"""
+select page_id, host, path, {rule} as rule, coalesce({verdict}, case when bound >= {block_odds} * o / (1 - o + {block_odds} * o) then 'block' else 'allow' end) as verdict
+from placed left join known using (host), (select (sum(bad) + 1) / (sum(n) + 2) as o from hosts)"""

@@ -40,6 +40,25 @@ def test_targets_stop_at_three_times(spark):
     assert got == {"a": 960.0, "b": 30.0, "c": 30.0, "d": 0.0}
 
 
+def test_suffixes_and_addresses(spark):
+    hosts = ["a.b.com.sg", "x.co.il", "www.org.nz:80", "q.r.s.example.dev", "10.0.0.1:8080", "[::1]:80", "com", "", "a.kyoto.jp"]
+    rows = spark.createDataFrame([(h, 1, 0) for h in hosts], "host string, n long, bad long")
+    got = {r["host"]: (r["suffix"], r["domain"]) for r in url_filters._levels(rows).collect()}
+    assert got["a.b.com.sg"] == ("com.sg", "b.com.sg") and got["x.co.il"] == ("co.il", "x.co.il") and got["www.org.nz:80"] == ("org.nz", "www.org.nz")
+    assert got["q.r.s.example.dev"] == ("dev", "example.dev") and got["10.0.0.1:8080"] == ("address", "10.0.0.1") and got["[::1]:80"] == ("address", "[::1]")
+    table = spark.createDataFrame([("jp",), ("kyoto.jp",), ("example.dev",), ("com",), (None,)], "suffix string")
+    got = {r["host"]: (r["suffix"], r["domain"]) for r in url_filters._levels(rows, table).collect()}
+    assert got["a.kyoto.jp"] == ("kyoto.jp", "a.kyoto.jp") and got["q.r.s.example.dev"] == ("example.dev", "s.example.dev") and got["a.b.com.sg"] == ("sg", "com.sg")
+
+
+def test_bad_hosts_are_blocked_at_any_overall_rate(spark):
+    """Ten of forty hosts are several times as bad as the others."""
+    for often in (10, 3):  # every so many-th page of a common host is bad
+        rows = [(f"h{h}.site{h}.org", 1 if (h < 10 and i % 10 < 9) or (h >= 10 and i % often == 0) else 0) for h in range(40) for i in range(60)]
+        found = url_filters.reputations(spark.createDataFrame(rows, "host string, bad long")).filter("bound >= bar").select("host")
+        assert sorted(r["host"] for r in found.collect()) == sorted(f"h{h}.site{h}.org" for h in range(10))
+
+
 def test_url_odd_rows(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/1?x=/fr/", "http://a.example.com/en/2#f", "http://example.com", "http://x.net/es/3", "https://x.net/fr/", "https://x.net?/fr/", "http://xnet/fr/9", "http://a.co.uk:80/de/4", "ftp://b.a.co.uk/de/5", "http://com/", "http://a.org/en/1", "http://a.org/en/1", "http://b.org/en/2\n://x", "http://ü.org/en/3"]
     urls += [f"http://bad.org/en/{i}" for i in range(40, 80)]
