@@ -77,16 +77,28 @@ def independent_groups(links: DataFrame) -> DataFrame:
     )
 
 
-def platform_spread(links: DataFrame) -> DataFrame:
-    """Distinct platforms (owner prefix before the colon) over all linked evidence of each opinion."""
+#: How two partial states of a group (columns of independent_groups) become one.
+GROUP_MERGE = {
+    "authority": F.max, "directness_rank": F.max, "any_promo": F.bool_or, "newest": F.max, "agrees": F.bool_or, "official": F.bool_or,
+    "n_evidence": F.sum, "n_promo": F.sum, "self_conf_sum": F.sum, "self_conf_n": F.sum,
+}
+
+
+def opinion_platforms(links: DataFrame) -> DataFrame:
+    """(claim_id, platform): platforms (owner prefix before the colon) of each opinion's evidence, each once."""
     platform = F.split_part(F.col("owner_key"), F.lit(":"), F.lit(1))
-    return links.filter(F.col("claim_type") == "player_opinion").groupBy("claim_id").agg(F.count_distinct(platform).alias("n_platforms"))
+    return links.filter(F.col("claim_type") == "player_opinion").select("claim_id", platform.alias("platform")).distinct()
+
+
+def platform_spread(links: DataFrame) -> DataFrame:
+    """Distinct platforms over all linked evidence of each opinion."""
+    return opinion_platforms(links).groupBy("claim_id").agg(F.count("platform").alias("n_platforms"))
 
 
-def premise_floor(claims: DataFrame) -> DataFrame:
-    """Lowest known confidence among the claims a claim is derived from."""
+def premise_floor(claims: DataFrame, premises: DataFrame | None = None) -> DataFrame:
+    """Lowest known confidence among the claims a claim is derived from (looked up in ``premises``, else in the claims)."""
     asked = claims.select("claim_id", F.explode("derived_from").alias("premise_id"))
-    known = claims.select(F.col("claim_id").alias("premise_id"), "confidence")
+    known = (claims if premises is None else premises).select(F.col("claim_id").alias("premise_id"), "confidence")
     return asked.join(known, "premise_id").groupBy("claim_id").agg(F.min("confidence").alias("min_premise"))
 
 
@@ -184,10 +196,20 @@ def score_claims(
     Facts, inferences and insights are scored for truth, opinions for representativeness. A claim
     without admissible evidence gets band ``insufficient`` and a NULL score, never 0.5.
     """
+    return score_groups(claims, independent_groups(links), platform_spread(links), as_of, conflicts)
+
+
+def score_groups(
+    claims: DataFrame, groups: DataFrame, platforms: DataFrame, as_of: str, conflicts: DataFrame | None = None, premises: DataFrame | None = None
+) -> DataFrame:
+    """As score_claims, from independent groups and counted platforms (claim_id, n_platforms).
+
+    ``premises``: where the claims are part of a table, the whole of it, for what they are derived from.
+    """
     at = F.lit(as_of).cast("timestamp")
     base = active_claims(claims).drop("confidence", "confidence_band", "breakdown")
-    wide = base.join(claim_features(independent_groups(links)), "claim_id", "left")
-    wide = wide.join(platform_spread(links), "claim_id", "left").join(premise_floor(claims), "claim_id", "left")
+    wide = base.join(claim_features(groups), "claim_id", "left")
+    wide = wide.join(platforms, "claim_id", "left").join(premise_floor(claims, premises), "claim_id", "left")
     if conflicts is None:
         wide = wide.withColumn("disputed", F.lit(False))
     else:
