@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from claimweave.operators import merge as M
+from claimweave.operators.chains import chain_ends, merge_to_ends
 from claimweave.plans import sqltext as Q
 from claimweave.plans.registry import AS_OF, BIND, Tables, query
 
@@ -201,3 +202,30 @@ def queue_add(t: Tables) -> DataFrame:
     rows = queue_rows(route_claims(scored(t))).withColumn("item_id", F.col("item_id").cast("string"))
     known = t.queue.withColumn("reason", F.lit("low_confidence"))
     return M.enqueue(rows, known).select("item_type", "item_id", "reason", "priority")
+
+
+# ---- chains of merges
+
+BIND["pointers"] = """
+SELECT p_partkey AS claim_id, CASE WHEN p_partkey % 50 <> 0 THEN p_partkey - 1 WHEN p_partkey % 200 = 0 AND p_partkey > 0 THEN p_partkey + 1 END AS merged_into FROM {part}
+"""
+ENDS = """WITH RECURSIVE walk(claim_id, stop, hops) AS (SELECT claim_id, merged_into, 1::BIGINT FROM {pointers} WHERE merged_into IS NOT NULL
+   UNION ALL SELECT w.claim_id, p.merged_into, w.hops + 1 FROM walk w JOIN {pointers} p ON p.claim_id = w.stop WHERE p.merged_into IS NOT NULL AND w.hops < 60),
+ ends AS (SELECT claim_id, CASE WHEN max(hops) < 60 THEN arg_max(stop, hops) END AS last, CASE WHEN max(hops) < 60 THEN max(hops) END AS hops, max(hops) >= 60 AS cycle FROM walk GROUP BY claim_id) """
+
+
+@query("merge_chains", ENDS + "SELECT claim_id, last, hops, cycle FROM ends")
+def merge_chains(t: Tables) -> DataFrame:
+    return chain_ends(t.pointers)
+
+
+@query(
+    "merge_chain_edges",
+    ENDS + "SELECT coalesce(e.last, l.l_partkey) AS claim_id, l.l_orderkey AS evidence_id FROM {lineitem} l LEFT JOIN ends e ON e.claim_id = l.l_partkey GROUP BY ALL",
+)
+def merge_chain_edges(t: Tables) -> DataFrame:
+    """Evidence follows its claim through all merges."""
+    edges = t.lineitem.select(F.col("l_partkey").alias("claim_id"), F.col("l_orderkey").alias("evidence_id"), F.col("l_linenumber").alias("line"))
+    stored = t.pointers.select("claim_id", "merged_into", F.lit("pending").alias("review_state"))
+    _, moved, _, _ = merge_to_ends(stored, edges, t.pointers.filter("merged_into is not null").select("claim_id", F.col("merged_into").alias("canonical_id")), "merge")
+    return moved.select("claim_id", "evidence_id").distinct()
