@@ -198,6 +198,28 @@ def api_log_stats(logs: DataFrame) -> DataFrame:
     )
 
 
+def latency_sketches(logs: DataFrame, k: int = 200) -> DataFrame:
+    """One mergeable sketch a key, route and hour (key_id, route, hour, calls, sketch), to be stored instead of the logs.
+
+    A larger k tells ranks more exactly (k = 200: within about 1.7 % of the calls, 99 times of 100).
+    """
+    d = api_log_rows(logs).filter(F.col("duration_ms").isNotNull() & F.col("called_at").isNotNull())
+    rows = d.groupBy("key_id", "route", F.date_trunc("hour", "called_at").alias("hour"))
+    return rows.agg(F.count(F.lit(1)).alias("calls"), F.kll_sketch_agg_double(F.col("duration_ms").cast("double"), F.lit(k)).alias("sketch"))
+
+
+def latency_quantiles(sketches: DataFrame, since: str | None = None, until: str | None = None, quantiles: Sequence[float] = (0.5, 0.95), k: int = 200) -> DataFrame:
+    """(key_id, route, calls, q50, q95, ...) over any range of hours [since, until), from sketches alone."""
+    rows = sketches
+    if since is not None:
+        rows = rows.filter(F.col("hour") >= F.lit(since).cast("timestamp"))
+    if until is not None:
+        rows = rows.filter(F.col("hour") < F.lit(until).cast("timestamp"))
+    merged = rows.groupBy("key_id", "route").agg(F.sum("calls").alias("calls"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    told = [F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(f"q{round(100 * q)}") for q in quantiles]
+    return merged.select("key_id", "route", "calls", *told)
+
+
 def allowed_pairs(keys: DataFrame, projects: DataFrame, wanted: DataFrame) -> DataFrame:
     """Requested (key, project) pairs that the key's list covers; ``*`` covers every project."""
     have = projects.select("project_id")

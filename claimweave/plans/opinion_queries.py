@@ -97,18 +97,35 @@ def quoted_opinions(t: Tables) -> DataFrame:
 PAIN = [("monetization", LEXICON[0][3], "expensive"), ("grind", LEXICON[1][3], "slow")]
 
 
-@query(
-    "competitor_pain",
-    " UNION ALL ".join(
+PAIN_SQL = (" UNION ALL ".join(
         f"SELECT lang, source, '{topic}' AS topic, '竞品《' || source || '》玩家反馈该竞品{words}' AS claim_text, count(*) FILTER (WHERE regexp_matches(text, {Q.lit(p)})) AS n_holding, count(*) AS n_discussing FROM {{documents}} GROUP BY lang, source HAVING count(*) FILTER (WHERE regexp_matches(text, {Q.lit(p)})) >= 2"
         for (_, p, words), topic in zip(PAIN, ["monetization", "gameplay"])
-    ),
+    )
 )
+
+
+@query("competitor_pain", PAIN_SQL)
 def competitor_pain(t: Tables) -> DataFrame:
     out = E.competitor_pain(t.documents, ["lang"], "source", PAIN)
     return out.select("lang", "source", "topic", "claim_text", "n_holding", "n_discussing")
 
 
+@query(
+    "competitor_refresh",
+    "SELECT lang, source, claim_text, n_holding, n_discussing, CAST(updated AS BIGINT) AS updated FROM (SELECT *, 1 AS updated FROM (" + PAIN_SQL + ") a UNION ALL SELECT lang, source, 'topic', '竞品《' || source || '》旧结论', 1, 2, 0 FROM (SELECT DISTINCT lang, source FROM {documents}) d) x",
+)
+def competitor_refresh(t: Tables) -> DataFrame:
+    """Claims of an earlier look at half of the reviews get the statistics of all; claims not found again stay as they were."""
+    half = E.competitor_pain(t.documents.filter("n_chars % 2 = 0"), ["lang"], "source", PAIN)
+    long_ago = F.lit("2020-01-01").cast("timestamp")
+    columns = ["lang", "source", "claim_text", "n_holding", "n_discussing", "updated_at"]
+    stale = t.documents.select("lang", "source").distinct().withColumns({"claim_text": F.concat(F.lit("竞品《"), F.col("source"), F.lit("》旧结论")), "n_holding": F.lit(1).cast("long"), "n_discussing": F.lit(2).cast("long")})
+    existing = half.withColumn("updated_at", long_ago).select(columns).unionByName(stale.withColumn("updated_at", long_ago).select(columns))
+    found = E.competitor_pain(t.documents, ["lang"], "source", PAIN)
+    now, _ = E.refresh_opinions(existing, found, ["lang", "source"], ["n_holding", "n_discussing"], "2024-01-01")
+    return now.withColumn("updated", (F.col("updated_at") > long_ago).cast("long")).drop("updated_at")
+
+
 @query(
     "creative_insight",
     "SELECT lang AS project_id, doc_id::VARCHAR AS creative_key, '《' || lang || '》可复用的买量创意角度：「' || source || '」钩子' || CASE WHEN doc_id % 2 = 0 THEN ' + 「' || lang || '」情绪曲线' ELSE '' END || '（源自高表现抖音素材，供创意 Agent 参考）' AS claim_text FROM {documents} WHERE doc_id % 10 <> 0 AND contains(lower('钩子类型：' || source || text), 'src1') AND len(list_filter(regexp_split_to_array(text, '[。！？!?\\n]'), lambda x: length(trim(regexp_replace(x, '[#>*`]', '', 'g'))) BETWEEN 12 AND 140 AND NOT contains(x, '==='))) > 0",

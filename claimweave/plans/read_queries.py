@@ -224,6 +224,23 @@ def api_log_stats(t: Tables) -> DataFrame:
     return R.api_log_stats(t.api_logs).withColumn("last_used", F.unix_micros(F.col("last_used").cast("timestamp")))
 
 
+@query(
+    "api_latency_ranks",
+    "SELECT key_id, route, count(duration_ms) AS calls, true AS median_near, true AS p95_near FROM {api_logs} WHERE duration_ms IS NOT NULL GROUP BY key_id, route",
+)
+def api_latency_ranks(t: Tables) -> DataFrame:
+    """Quantiles from merged hourly sketches stand within two hundredths of the rank asked for."""
+    told = R.latency_quantiles(R.latency_sketches(t.api_logs)).withColumnRenamed("calls", "n")
+    rows = R.api_log_rows(t.api_logs).filter("duration_ms is not null").join(told, ["key_id", "route"])
+    counts = rows.groupBy("key_id", "route", "n").agg(
+        *(F.count_if(F.col("duration_ms") < F.col(q)).alias(f"below_{q}") for q in ("q50", "q95")),
+        *(F.count_if(F.col("duration_ms") <= F.col(q)).alias(f"upto_{q}") for q in ("q50", "q95")),
+    )
+    slack = 0.02 * F.col("n") + 1
+    near = lambda q, p: (F.col(f"below_{q}") <= p * F.col("n") + slack) & (F.col(f"upto_{q}") >= p * F.col("n") - slack)
+    return counts.select("key_id", "route", F.col("n").alias("calls"), near("q50", 0.5).alias("median_near"), near("q95", 0.95).alias("p95_near"))
+
+
 @query(
     "allowed_projects",
     "SELECT DISTINCT w.key_id, w.project_id FROM (SELECT DISTINCT o_custkey AS key_id, p_brand AS project_id FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {part} ON p_partkey = l_partkey) w JOIN {api_keys} k ON k.key_id = w.key_id WHERE list_contains(string_split(scope, ','), '*') OR list_contains(string_split(scope, ','), w.project_id)",

@@ -103,6 +103,22 @@ def search_isolation(t: Tables) -> DataFrame:
     return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.count_if(F.col("only") != F.col("project_id")).alias("n_foreign"))
 
 
+# the same search by keys: a key that sees one project is as good as naming it
+BIND["scoped_searches"] = "SELECT query_id, query, coalesce(project_id, CASE WHEN query_id % 2 = 0 THEN 'de' END) AS project_id FROM {searches}"
+for _name in ("x_qterms", "x_kw", "x_ev", "x_sub", "x_fused", "x_hits"):
+    BIND["y" + _name[1:]] = BIND[_name].replace("{x_", "{y_").replace("{y_shown}", "{x_shown}").replace("{searches}", "{scoped_searches}")
+
+
+@query("search_by_key", "SELECT query_id, claim_id, score, pos FROM {y_hits}")
+def search_by_key(t: Tables) -> DataFrame:
+    """Many callers at once, each seeing the projects of its key only."""
+    keys = t.spark.createDataFrame([(0, ["de"]), (1, ["*"])], "key_id long, project_ids array<string>")
+    asked = t.searches.withColumn("key_id", F.when(F.col("project_id").isNull() & (F.col("query_id") % 2 == 0), 0).otherwise(1).cast("long"))
+    quotes = J.evidence_index(t.text_evidence, t.text_links)
+    found = J.search(t.text_claims, J.claim_index(t.text_claims), quotes, J.keyed_queries(asked, keys), NOW)
+    return found.select("query_id", "claim_id", "score", "pos")
+
+
 CITED = """SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY authority_prior DESC, evidence_id) AS cite_pos, evidence_id, name AS source_name, substr(quote, 1, {n}) AS quote, source_type NOT IN ('store_review', 'community') AS quotable
 FROM {{text_links}} l JOIN {{text_evidence}} USING (evidence_id) JOIN {{text_sources}} USING (source_id) WHERE stance = 'supports' QUALIFY cite_pos <= {k}"""
 BIND["x_cited"] = CITED.format(n=160, k=2)

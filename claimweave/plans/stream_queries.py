@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from claimweave.checkpoints import new_folder
+from claimweave.operators.bucketed import BucketedLog
 from claimweave.operators.search_index import TextIndex
 from claimweave.plans.registry import Tables, query
 from claimweave.plans.merge_queries import REPEATS
@@ -55,9 +56,23 @@ def rate_limit_minutes(t: Tables) -> DataFrame:
 
 @query(
     "burst_stream",
-    "SELECT user_id, max(n) AS most FROM (SELECT user_id, w, count(*) AS n FROM (SELECT user_id, date_trunc('hour', ts) - to_hours(i) AS w FROM {events}, range(24) r(i)) a GROUP BY ALL) b GROUP BY user_id",
+    "SELECT user_id, max(w) AS most FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 24 HOUR FOLLOWING) AS w FROM {events}) x GROUP BY user_id",
 )
 def burst_stream(t: Tables) -> DataFrame:
+    """Exact to the instant, as the batch form."""
+    rows = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    state = ST.BurstState(t.spark, "user_id", "ts")
+    _, _, offsets = folders(t, "burst")
+    arrive(t, rows, "ts", DAYS, lambda s: ST.bursts_exact(s, state, offsets), None)
+    return state.most()
+
+
+@query(
+    "burst_stream_hours",
+    "SELECT user_id, max(n) AS most FROM (SELECT user_id, w, count(*) AS n FROM (SELECT user_id, date_trunc('hour', ts) - to_hours(i) AS w FROM {events}, range(24) r(i)) a GROUP BY ALL) b GROUP BY user_id",
+)
+def burst_stream_hours(t: Tables) -> DataFrame:
+    """Windows that start on the hour, from Spark's own windowed state."""
     rows = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     out, _, offsets = folders(t, "burst")
     start = lambda s: ST.write_batches(ST.bursts(s, "user_id", "ts"), out, offsets, "update")
@@ -79,8 +94,9 @@ def repeat_stream(t: Tables) -> DataFrame:
 @query("snapshot_stream", "SELECT document_id, fetch_id::VARCHAR AS snapshot_id, h AS content_hash FROM {x_changes}")
 def snapshot_stream(t: Tables) -> DataFrame:
     fetched = t.fetches.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
-    out, state, offsets = folders(t, "changes")
-    rows = arrive(t, fetched, "fetched_at", DAYS, lambda s: ST.run_with_state(s, ST.change_step(), out, state, offsets), out)
+    out, _, offsets = folders(t, "changes")
+    log = BucketedLog(t.spark, "latest_content", "document_id")
+    rows = arrive(t, fetched, "fetched_at", DAYS, lambda s: ST.run_with_log(s, ST.change_step(), out, log, ["document_id"], offsets), out)
     return rows.select("document_id", "snapshot_id", "content_hash")
 
 

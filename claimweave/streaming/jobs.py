@@ -1,10 +1,10 @@
 """Streaming forms of the incremental operators.
 
 Windowed counts use watermarks and Spark's own state. Jobs that compare a row with the previous one of
-its key (repeat guard, change feed) keep one row per key in a state table and run the batch operator on
-every micro-batch: a hot key is then split like in batch, instead of being walked row by row in one
-stateful task. Outputs and state are written under the batch number, so a replayed batch overwrites
-its own result.
+its key run the batch operator on every micro-batch: a hot key is then split like in batch, instead of
+being walked row by row in one stateful task. The change feed and the exact bursts append what a batch
+changed to a bucketed log and read only the keys it touches; the repeat guard's state expires and is
+rewritten. Outputs and state carry the batch number, so a replayed batch counts once.
 """
 
 from __future__ import annotations
@@ -14,8 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from claimweave.checkpoints import cut
+from claimweave.operators.bucketed import BucketedLog
 from claimweave.operators.merge import repeat_runs, snapshot_changes
 from claimweave.operators.search_index import TextIndex
+from claimweave.operators.similarity import burst_share
 
 DEFAULT_RPM, UNKNOWN_RPM = 120, 20
 Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
@@ -49,6 +52,42 @@ def bursts(reviews: DataFrame, key: str, ts: str, late: str = "24 hours") -> Dat
     )
 
 
+class BurstState:
+    """Most rows of a key inside any window of some hours, exact to the instant, kept up to date batch by batch.
+
+    New rows can only change windows that start on their own day or the days a window reaches back. Those
+    days are counted anew from the stored instants of the key; everything else stays as it is.
+    """
+
+    def __init__(self, spark: SparkSession, key: str, ts: str, hours: int = 24, buckets: int | None = None):
+        self.key, self.ts, self.hours = key, ts, hours
+        self.points, self.days = (BucketedLog(spark, name, key, buckets) for name in ("burst_points", "burst_days"))
+
+    def _reach(self, rows: DataFrame) -> DataFrame:
+        """Each row once for every day on which a window that holds it may start."""
+        back = F.sequence(F.lit(0), F.lit(-(-self.hours // 24)))
+        return rows.withColumn("_day", F.explode(F.transform(back, lambda i: F.date_sub(F.to_date(self.ts), i))))
+
+    def add(self, rows: DataFrame, batch: str | None = None) -> None:
+        rows = cut(rows.select(self.key, self.ts).filter(F.col(self.ts).isNotNull()))
+        self.points.append(rows, batch)
+        touched = cut(self._reach(rows).select(self.key, "_day").distinct())
+        known = self.points.rows().join(touched.select(self.key).distinct(), self.key, "left_semi")
+        near = self._reach(known).join(touched, [self.key, "_day"], "left_semi")
+        counted = burst_share(near, [self.key, "_day"], self.ts, self.hours)
+        self.days.append(counted.select(self.key, "_day", "max_in_window"), batch)
+
+    def most(self) -> DataFrame:
+        """(key, most)."""
+        return self.days.newest([self.key, "_day"]).groupBy(self.key).agg(F.max("max_in_window").alias("most"))
+
+
+def bursts_exact(stream: DataFrame, state: BurstState, checkpoint: str) -> StreamingQuery:
+    """Keep a burst state up to date; late rows count whenever they come."""
+    save = lambda batch, number: state.add(batch, str(number))
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Write every micro-batch to its own folder and stop when the input is used up."""
 
@@ -71,6 +110,17 @@ def run_with_state(stream: DataFrame, step: Step, out: str, state: str, checkpoi
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_with_log(stream: DataFrame, step: Step, out: str, log: BucketedLog, keys: list[str], checkpoint: str) -> StreamingQuery:
+    """As run_with_state, the state being the newest row of each key in a log: a batch reads and writes only its own keys."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        result, after = step(batch, log.newest(keys, batch.select(*keys).distinct(), without=str(number)))
+        result.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        log.append(after, str(number))
+
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def repeat_step(minutes: int = 30) -> Step:
     """Runs repeated within some minutes after one was done; the state is what was done shortly before the newest start.
 
