@@ -1,7 +1,7 @@
 """Re-Pair grammar compression of one shard of token ids, with random access by expansion lengths.
 
 Each round counts all adjacent pairs, gives every frequent one a nonterminal (most frequent first)
-and replaces its occurrences; rounds go on until no pair is frequent. A shard stores its rules (left
+and replaces its occurrences; rounds go on until no pair is frequent or a round gains next to nothing. A shard stores its rules (left
 and right symbol), how many ids each rule expands to, and the remaining sequence. To read a part of
 the shard, running sums of expansion lengths find the symbols that cover it, and only those expand.
 """
@@ -20,6 +20,8 @@ HEADER = struct.Struct("<4sIIIII")
 MIN_COUNT = 16
 #: A round also takes the pairs down to this share of its most frequent one.
 ROUND_SHARE = 8
+#: Rounds end after one that shortens the sequence by less than this part of it: later ones save less than they cost.
+LEAST_GAIN = 64
 #: Buckets in which pairs are counted before the exact count of the frequent ones.
 BUCKETS = 1 << 18
 
@@ -47,13 +49,16 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np
     top = base
     while len(sequence) > 1:
         rank = _frequent((sequence[:-1] << 32) | sequence[1:], min_count)
-        none = len(rank)
-        chosen = rank < none
-        same = np.concatenate([[False], rank[1:] == rank[:-1]])
-        run = np.arange(none) - np.maximum.accumulate(np.where(same, 0, np.arange(none)))
-        chosen &= np.where(same, run % 2 == 0, np.concatenate([[True], rank[:-1] > rank[1:]]))  # of overlapping pairs the better, of a run every other
-        chosen[:-1] &= rank[:-1] <= rank[1:]
-        at = np.flatnonzero(chosen)
+        near = np.flatnonzero(rank < len(rank))  # only pairs with a priority matter from here on
+        value = rank[near]
+        touch = np.diff(near) == 1
+        same = np.concatenate([[False], touch & (value[1:] == value[:-1])])
+        place = np.arange(len(near))
+        run = place - np.maximum.accumulate(np.where(same, 0, place))
+        better = np.concatenate([[True], ~touch | (value[:-1] > value[1:])])
+        chosen = np.where(same, run % 2 == 0, better[: len(near)])  # of overlapping pairs the better, of a run every other
+        chosen[:-1] &= ~touch | (value[:-1] <= value[1:])
+        at = near[chosen]
         used = np.bincount(rank[at]) if len(at) else np.zeros(0, dtype=np.int64)
         earned = used >= max(2, min_count // 2)
         if not earned.any():
@@ -69,7 +74,9 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np
         sequence[at] = symbol[rank[at]]
         keep = np.ones(len(sequence), dtype=bool)
         keep[at + 1] = False
-        sequence = sequence[keep]
+        before, sequence = len(sequence), sequence[keep]
+        if before - len(sequence) < before // LEAST_GAIN:
+            break
     table = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)
     return table, lengths[base:], sequence
 

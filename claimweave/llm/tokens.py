@@ -37,9 +37,14 @@ class Encoder:
         self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.memo_words = memo_words
         self.ends = dict(zip(".,", self.whole(list(".,")), strict=True))
-        self._forget()
-
-    def _forget(self) -> None:
+        #: By byte: the id of a full stop or comma that is a piece of its own.
+        self.mark_ids = np.zeros(256, dtype=np.uint32)
+        for mark, ids in self.ends.items():
+            if len(ids) == 4:
+                self.mark_ids[ord(mark)] = np.frombuffer(ids, dtype=np.uint32)[0]
+        self.forget()
+
+    def forget(self) -> None:
         """Known words: word -> its number; a leading blank in the key marks a word that opens its text."""
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
@@ -52,7 +57,7 @@ class Encoder:
         added = np.frombuffer(b"".join(ids), dtype=np.uint32)
         while n + m > len(self.starts):
             self.starts, self.lengths, self.loose = (np.resize(x, 2 * len(x)) for x in (self.starts, self.lengths, self.loose))
-        while self.used + len(added) > len(self.flat):
+        while self.used + len(added) >= len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(added)] = added
         self.lengths[n : n + m] = lengths
@@ -104,24 +109,40 @@ class Encoder:
             found[missing] = np.fromiter(map(get, asked), dtype=np.int64, count=len(asked))
         return found
 
+    def _bare(self, words: pa.Array, first: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Words without the full stop or comma after their last ASCII letter, and that byte (else 0); opening words stay whole."""
+        offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+        marks = np.zeros(len(words), dtype=np.uint8)
+        at = np.flatnonzero(np.diff(offsets) > 1)
+        last, before = data[offsets[at + 1] - 1], data[offsets[at + 1] - 2] | 0x20
+        at = at[(self.mark_ids[last] > 0) & (before >= 0x61) & (before <= 0x7A)]
+        marks[at] = data[offsets[at + 1] - 1]
+        marks[first] = 0
+        return pc.if_else(pa.array(marks > 0), pc.utf8_rtrim(words, characters=".,"), words), marks
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls), and where each text starts among them (one more than texts)."""
         n = len(texts)
         if not n:
             return np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
         if len(self.known) > self.memo_words:
-            self._forget()
+            self.forget()
         lists = pc.split_pattern(texts, " ")
         words = lists.flatten()
         first = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        opening = [" " + w for w in words.take(pa.array(first)).to_pylist()]
+        words, marks = self._bare(words, first)
         coded = words.dictionary_encode()
         which = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
-        which[first] = self._numbers([" " + w for w in words.take(pa.array(first)).to_pylist()])
+        which[first] = self._numbers(opening)
         loose = self.loose[which]
         loose[np.append(first[1:], len(which)) - 1] = False
         odd_at = np.flatnonzero(np.logical_or.reduceat(loose, first))
-        lengths = self.lengths[which]
-        flat = self.flat[ragged(self.starts[which], lengths)]
+        marked = marks > 0
+        lengths = self.lengths[which] + marked
+        flat = self.flat[ragged(self.starts[which], lengths)]  # a marked word takes one place more, filled here
+        flat[np.cumsum(lengths)[marked] - 1] = self.mark_ids[marks[marked]]
         per_text = np.add.reduceat(lengths, first)
         if len(odd_at):
             odd = self.whole(texts.take(pa.array(odd_at)).to_pylist())
