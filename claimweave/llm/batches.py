@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +25,15 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Hand memory that is no longer used back to the system: a Python worker serves many tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

@@ -7,13 +7,17 @@
    threshold are compared by bitmap: the bits in which two parity bitmaps differ bound the number of
    differing shingles from below, so the overlap from above. Of the pairs that pass, a tile names a
    spanning forest; copies of one text thus give a link each, not all their pairs.
-4. Named pairs that also pass a wider bitmap are decided by intersecting their exact sorted sets. In tiles whose classes then still
-   belong to several components, all remaining pairs that pass the bitmap and join two components are
-   decided as well. No pair that could join two components stays undecided, so components are exact.
+4. Named pairs that also pass a wider bitmap are decided by intersecting their exact sorted sets. In tiles
+   whose classes then still belong to several components, the remaining pairs that pass the bitmap and
+   join two components are decided as well, a few between a class and a component first, then all that
+   still join two. No pair that could join two components stays undecided, so components are exact.
+5. A tile of more than ``PART`` classes is dealt into parts that share one class; afterwards what isn't
+   in its commonest component meets all of it, block by chunk, so that no task holds more than those.
 
 Sets are compared as 64-bit shingle hashes. Null or wordless texts have no shingle and no link; texts
 shorter than a shingle are one shingle. Rows with a null id take part and keep a null id (their
-component is the smallest known id in it). Repeated rows are equal texts. Empty tables give no rows.
+component is the smallest known id in it). Repeated rows are equal texts. Very long texts are hashed one
+at a time. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ from pyspark.sql import functions as F
 
 from claimweave.checkpoints import new_folder
 from claimweave.llm.batches import text_slices, texts_of
-from claimweave.llm.shingles import mix, shingle_hashes, shingle_sets
 from claimweave.llm.components import components
+from claimweave.llm.exact_sets import PASSES, blocks, exact_sets, few_per_root, set_hash, similar
+from claimweave.llm.shingles import mix, shingle_hashes, shingle_sets
 
 #: Hash buckets of the shingle histogram: its size never depends on the data.
 BUCKET_BITS = 20
@@ -35,8 +40,10 @@ CHUNKS = 64
 BITMAP_WORDS = 3
 #: Bits of the wider bitmap that each class has once.
 WIDE_BITS = 2048
-#: Bits of the constant-size filter that keeps texts nobody asked for out of a shuffle.
-FILTER_BITS = 1 << 23
+#: Rows of a tile that meet in one task; larger tiles are dealt into parts.
+PART = 512
+#: Rows of two parts of a tile that a task compares afterwards.
+BLOCK = 2048
 #: Stands for a null id in keys.
 NULL_ID = -(1 << 63)
 PROFILE = "doc_id long, digest long, n int, cls long, prefix binary, wide binary, b0 long, b1 long, b2 long"
@@ -86,7 +93,7 @@ def _profiles(docs: DataFrame, size: int, percent: int, levels) -> DataFrame:
                 n = len(x)
                 order = np.argsort(frequent[(x >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], kind="stable")
                 kept = x[order[: n - -(-percent * n // 100) + 1]]
-                whole = int(mix(np.array([np.bitwise_xor.reduce(mix(x)), np.add.reduce(x), n], dtype=np.uint64)).sum().astype(np.int64))
+                whole = set_hash(x)
                 rows.append((doc_id, digest, n, whole, kept.tobytes(), _parity(x, WIDE_BITS), *np.frombuffer(_parity(x, 64 * BITMAP_WORDS), dtype=np.int64).tolist()))
             columns = zip(*rows, strict=True)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * BITMAP_WORDS)
@@ -95,13 +102,24 @@ def _profiles(docs: DataFrame, size: int, percent: int, levels) -> DataFrame:
     return docs.mapInArrow(profile, PROFILE)
 
 
-def _postings(batches):
-    for batch in batches:
-        prefixes = batch.column("prefix").to_pylist()
-        counts = np.array([len(p) // 8 for p in prefixes], dtype=np.int64)
-        which = pa.array(np.repeat(np.arange(len(prefixes)), counts))
-        keys = pa.array(np.frombuffer(b"".join(prefixes), dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([keys, *(batch.column(c).take(which) for c in ("n", "cls", "b0", "b1", "b2"))], names=["tile", "n", "cls", "b0", "b1", "b2"])
+def _postings(levels, part_rows: int):
+    """One row a prefix shingle; ``often`` tells whether its tile may have more than ``part_rows`` rows."""
+    most = np.uint8(np.ceil(4 * np.log2(part_rows + 1)))
+
+    def run(batches):
+        for batch in batches:
+            yield _posted(batch, levels.value, most)
+
+    return run
+
+
+def _posted(batch: pa.RecordBatch, levels: np.ndarray, most: np.uint8) -> pa.RecordBatch:
+    prefixes = batch.column("prefix").to_pylist()
+    counts = np.array([len(p) // 8 for p in prefixes], dtype=np.int64)
+    which = pa.array(np.repeat(np.arange(len(prefixes)), counts))
+    keys = np.frombuffer(b"".join(prefixes), dtype=np.uint64)
+    often = pa.array(levels[(keys >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] >= most)
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(which) for c in ("n", "cls", "b0", "b1", "b2")), often], names=["tile", "n", "cls", "b0", "b1", "b2", "often"])
 
 
 def _pass(n: np.ndarray, bits: np.ndarray, u: int, pool: np.ndarray, percent: int) -> np.ndarray:
@@ -203,7 +221,7 @@ def _unpack(batches):
         yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(rows[:, 0].astype(np.int32)), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(1, rows.shape[1]))], names=["tile", "n", "cls", "b0", "b1", "b2"])
 
 
-def _rest_pairs(percent: int):
+def _rest_pairs(percent: int, most: int | None = None):
     """Tiles with roots in; out come, as stars, all pairs of different roots whose sizes and bitmaps allow them to be similar."""
 
     def run(batches):
@@ -215,7 +233,7 @@ def _rest_pairs(percent: int):
                 leaders, others = [], []
                 for u in (s + np.flatnonzero(root[s:e] != values[counts.argmax()])).tolist():  # one of each pair isn't in the largest
                     pool = s + np.flatnonzero(root[s:e] != root[u])
-                    near = _pass(n, bits, u, pool, percent)
+                    near = few_per_root(_pass(n, bits, u, pool, percent), cls, root, most)
                     if len(near):
                         leaders.append(int(cls[u]))
                         others.append(cls[near].tobytes())
@@ -225,25 +243,6 @@ def _rest_pairs(percent: int):
     return run
 
 
-def _asked_filter(keys: DataFrame) -> np.ndarray:
-    """Bits of the keys (long column ``key``) in a table of constant size."""
-
-    def bits(batches):
-        table = np.zeros(FILTER_BITS, dtype=bool)
-        for batch in batches:
-            table[batch.column("key").to_numpy() & (FILTER_BITS - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS)), pa.array([np.packbits(x).tobytes() for x in np.split(table, CHUNKS)])], names=["chunk", "bits"])
-
-    def either(table):
-        found = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in table.column("bits").to_pylist()])
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "bits": pa.array([found.tobytes()])})
-
-    rows = keys.mapInArrow(bits, "chunk long, bits binary").groupBy("chunk").applyInArrow(either, "chunk long, bits binary").collect()  # always CHUNKS small rows
-    by = {r["chunk"]: r["bits"] for r in rows}
-    packed = b"".join(by.get(i, bytes(FILTER_BITS // 8 // CHUNKS)) for i in range(CHUNKS))
-    return np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).view(bool)
-
-
 def _decide(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, stored) -> DataFrame:
     """Those pairs (a, b) whose exact sets are similar."""
 
@@ -254,42 +253,37 @@ def _decide(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pe
             overlap = (n - np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)) // 2
             yield batch.select(["a", "b"]).filter(pa.array(100 * overlap >= percent * (n - overlap)))
 
-    def sets(batches):
-        for batch in text_slices(batches):
-            found = shingle_sets(texts_of(batch), size)
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([x.tobytes() for x in found])], names=["cls", "set"])
-
-    def similar(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):  # views, not copies
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     def side(name: str) -> DataFrame:
         return classes.select(F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), F.col("wide").alias(f"wide_{name}"))
 
     pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(wide_pass, "a long, b long"), "passed")
     asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    sources = stored(classes.join(asked, "cls").select("cls", "source.id_key", "source.digest"), "sources")
-    key = F.xxhash64("id_key", "digest")
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(_asked_filter(sources.select(key.alias("key")))).tobytes())  # FILTER_BITS / 8 bytes
-
-    def wanted(batches):
-        table = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(table[batch.column("key").to_numpy() & (FILTER_BITS - 1)]))
-
-    keyed = docs.withColumn("id_key", F.coalesce("doc_id", F.lit(NULL_ID))).select("id_key", "digest", key.alias("key"), "text")
-    near = keyed.mapInArrow(wanted, keyed.schema).drop("key").dropDuplicates(["id_key", "digest"])  # repeated rows count once
-    exact = stored(near.join(sources, ["id_key", "digest"]).select("cls", "text").mapInArrow(sets, "cls long, set binary"), "sets")
-    joined = pairs.join(exact.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").join(exact.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(similar, "a long, b long")
-
-
-def members(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    keys = stored(classes.select("cls", "digest").join(asked, "cls"), "asked")
+    return similar(pairs, stored(exact_sets(docs, keys, size), "sets"), percent)
+
+
+def _tiles(postings: DataFrame, part_rows: int, stored) -> tuple[DataFrame, DataFrame]:
+    """Postings in tiles of bounded size, and the rows of the tiles that were larger, with their sizes (many).
+
+    A tile whose bucket has few shingles is small by that; only the others are counted. Larger tiles are
+    dealt into parts, and each part gets one class that all parts of the tile have in common.
+    """
+    often = stored(postings.filter("often").drop("often"), "often")
+    sizes = often.groupBy("tile").agg(F.count("*").alias("many")).filter("many > 1")
+    sized = often.join(sizes, "tile")
+    large = stored(sized.filter(F.col("many") > part_rows), "large-tiles")
+    columns = [c for c in postings.columns if c != "often"]
+    part = lambda i: F.xxhash64("tile", i).alias("tile")
+    parts = F.ceil(F.col("many") / part_rows)
+    rest = [c for c in columns if c != "tile"]
+    dealt = large.select(part(F.pmod(F.xxhash64("cls", F.lit(1)), parts)), *rest)
+    one = large.groupBy("tile", "many").agg(F.min(F.struct(F.xxhash64("cls", F.lit(2)).alias("draw"), *rest)).alias("one"))
+    shared = one.select("tile", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("i"), "one.*").select(part(F.col("i")), *rest)
+    bounded = postings.filter("not often").select(columns).unionByName(sized.filter(F.col("many") <= part_rows).select(columns))
+    return bounded.unionByName(dealt.unionByName(shared).dropDuplicates(["tile", "cls"])), large
+
+
+def members(docs: DataFrame, size: int = 3, percent: int = 90, part_rows: int = PART) -> DataFrame:
     """One row a document: (doc_id, digest, n, root, component_id); root is null for texts without words."""
     spark = docs.sparkSession
 
@@ -302,11 +296,11 @@ def members(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     levels = spark.sparkContext.broadcast(_levels(docs, size))
     profiles = stored(_profiles(docs, size, percent, levels), "profiles")
     filled = profiles.filter("n > 0")
-    source = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id_key"), "digest")).alias("source")
-    classes = stored(filled.groupBy("n", "cls").agg(F.min("doc_id").alias("first_id"), source, *(F.first(c).alias(c) for c in ("prefix", "wide", "b0", "b1", "b2"))), "classes")
-    ids = classes.select("cls", "n", "wide", "first_id", "source")
-    postings = classes.select("n", "cls", "prefix", "b0", "b1", "b2").mapInArrow(_postings, MEMBER)
-    stars = stored(postings.repartition("tile").sortWithinPartitions("tile").mapInArrow(_name_stars(percent), STAR), "stars")
+    classes = stored(filled.groupBy("n", "cls").agg(F.min("doc_id").alias("first_id"), F.min("digest").alias("digest"), *(F.first(c).alias(c) for c in ("prefix", "wide", "b0", "b1", "b2"))), "classes")
+    ids = classes.select("cls", "n", "wide", "first_id", "digest")
+    postings = classes.select("n", "cls", "prefix", "b0", "b1", "b2").mapInArrow(_postings(levels, part_rows), MEMBER + ", often boolean")
+    tiles, large = _tiles(postings, part_rows, stored)
+    stars = stored(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_name_stars(percent), STAR), "stars")
     led = stars.select("leader", "others").repartition("leader").sortWithinPartitions("leader").mapInArrow(_star_pairs, "a long, b long")
     pairs = stored(led, "pairs")
     either = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -315,16 +309,21 @@ def members(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     # Tiles all of whose named pairs are links lie in one component; only the others can hide a link.
     failed = pairs.join(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti").select(F.col("a").alias("leader")).distinct()
     open_tiles = stars.join(failed, "leader").select("tile").distinct()
-    members = stars.filter("members is not null").join(open_tiles, "tile").select("tile", "members").mapInArrow(_unpack, MEMBER)
-    rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    rest = rooted.repartition("tile").sortWithinPartitions("tile").mapInArrow(_rest_pairs(percent), "leader long, others binary")
-    rest = rest.repartition("leader").sortWithinPartitions("leader").mapInArrow(_star_pairs, "a long, b long")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = stored(rest.join(either, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
+    members = stored(stars.filter("members is not null").join(open_tiles, "tile").select("tile", "members").mapInArrow(_unpack, MEMBER), "open")
+    for most in PASSES:
+        rooted, between = (x.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")) for x in (members, large))
+        rest = rooted.repartition("tile").sortWithinPartitions("tile").mapInArrow(_rest_pairs(percent, most), "leader long, others binary")
+        rest = rest.repartition("leader").sortWithinPartitions("leader").mapInArrow(_star_pairs, "a long, b long")
+        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = rest.unionByName(blocks(between, "tile", ["b0", "b1", "b2"], _pass, percent, BLOCK, most)).distinct()
+        rest = stored(rest.join(either, ["a", "b"], "left_anti"), "rest")
+        if rest.isEmpty():
+            continue
         more = stored(_decide(rest, docs, ids, size, percent, stored), "more")
+        either = either.unionByName(rest)
         if not more.isEmpty():
-            roots = stored(components(links.unionByName(more)), "roots")
+            links = links.unionByName(more)
+            roots = stored(components(links), "roots")
     placed = ids.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     rows = profiles.select("doc_id", "digest", "n", "cls")

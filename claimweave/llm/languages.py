@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimweave.llm.batches import text_slices, texts_of
+from claimweave.llm.batches import give_back, text_slices, texts_of
 
 #: ISO 639-1 codes by family. A language not listed is a family of its own.
 FAMILIES = {
@@ -162,7 +162,12 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     picked = rows.filter(draw < bound[F.col("lang")]).select("doc_id", "lang", "text")
     table = picked.mapInArrow(vectors, "doc_id long, lang string, x binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), dtype=np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
-    return Model.fit(x, table.column("lang").to_pylist())
+    labels = table.column("lang").to_pylist()
+    del table
+    model = Model.fit(x, labels)
+    del x
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.checkpoints import new_folder
-from claimweave.llm.batches import text_slices, texts_of
+from claimweave.llm.batches import give_back, text_slices, texts_of
 from claimweave.llm.tokens import TOKEN_SLICE, encoder
 
 WINDOW = 2048
@@ -96,6 +96,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
                     row += 1
             columns = [pa.array(list(x), pa.int64()) for x in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"])
+        encoder(tokenizer).forget()  # other stages use this worker too
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     folder = new_folder(spark, "pieces")

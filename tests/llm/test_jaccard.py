@@ -96,3 +96,20 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+@pytest.mark.parametrize("edits", [3, 6, 9])
+def test_one_tile_with_a_third_of_all_rows(spark, edits):
+    """Near copies of one text, all different, share their prefix shingles: linked, in part, or not at all."""
+    rnd = random.Random(edits)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rnd.sample(range(200), edits):
+            words[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(rnd.choice(base) for _ in range(30))) for i in range(300)]
+    found = jaccard_join.members(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, part_rows=16)
+    got = found.select("doc_id", "n", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 3, 90)
