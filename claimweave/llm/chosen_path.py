@@ -9,9 +9,10 @@
 3. The first trees name only a spanning forest of a node's pairs (in a node that stays large, everything
    against one class of it), which finds groups of copies with about one pair a class. Links are
    confirmed on the full sets; linked classes get a common root.
-4. More independent trees then look only at nodes that hold several roots, at all their pairs of
-   different roots. A node that stays large is compared in blocks: what isn't in its commonest root, a
-   block at a time, against chunks of the whole node, so no task holds more than a block and a chunk.
+4. More independent trees then look only at nodes that hold several roots, at their pairs of different
+   roots: first a few between a class and another root, then all that are still needed. A node that
+   stays large is compared in blocks: what isn't in its commonest root, a block at a time, against chunks
+   of the whole node, so no task holds more than a block and a chunk.
 
 ``recall(similarity)`` gives the share of pairs that a set of trees brings together, for nodes as deep
 as they may get; at the threshold the registered settings miss less than one pair in 10,000 even there.
@@ -34,17 +35,18 @@ from pyspark.sql import DataFrame, functions as F
 from claimweave.checkpoints import new_folder
 from claimweave.llm.batches import text_slices, texts_of
 from claimweave.llm.components import components
+from claimweave.llm.exact_sets import PASSES, blocks, exact_sets, few_per_root, set_hash, similar
 from claimweave.llm.shingles import mix, shingle_sets
 
 COORDINATES = 64
 WIDE_BITS = 2048
-SMALL = 64
-#: Classes from the others than the commonest root, and classes of the node, that a task compares.
-BLOCK = CHUNK = 2048
+SMALL = 256
+#: Bits of the bitmap that goes along to the nodes.
+NARROW_BITS = 512
+#: Classes of two parts of a large node that a task compares.
+BLOCK = 2048
 #: One path in so many goes on by two tokens.
 FORK = 4
-#: Words of 64 bits in the filter that keeps texts nobody asked for out of a shuffle: its size never grows.
-FILTER_WORDS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -54,7 +56,7 @@ class Trees:
     depth: int
 
 
-FOREST, WHOLE = Trees(0, 4, 3), Trees(4, 20, 8)
+FOREST, WHOLE = Trees(0, 4, 3), Trees(4, 12, 5)
 
 
 def recall(similarity: float, trees: Trees = WHOLE) -> float:
@@ -69,13 +71,9 @@ def recall(similarity: float, trees: Trees = WHOLE) -> float:
 _MULTIPLIERS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
-def _parity(hashes: np.ndarray) -> bytes:
+def _parity(hashes: np.ndarray, bits: int) -> bytes:
     """Which buckets hold an odd number of the hashes."""
-    return np.packbits((np.bincount((mix(hashes) % np.uint64(WIDE_BITS)).astype(np.int64), minlength=WIDE_BITS) & 1).astype(np.uint8)).tobytes()
-
-
-def _set_hash(x: np.ndarray) -> int:
-    return int(mix(np.array([np.bitwise_xor.reduce(mix(x)), np.add.reduce(x), len(x)], dtype=np.uint64)).sum().astype(np.int64))
+    return np.packbits((np.bincount((mix(hashes) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def minwise(sets: list[np.ndarray]) -> np.ndarray:
@@ -86,7 +84,7 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
         return np.stack([np.minimum.reduceat((joined * m) >> np.uint64(32), starts) for m in _MULTIPLIERS], axis=1).astype(np.uint32)
 
 
-PROFILE = "doc_id long, digest long, n int, cls long, tokens binary, wide binary"
+PROFILE = "doc_id long, digest long, n int, cls long, tokens binary, narrow binary, wide binary"
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
@@ -97,10 +95,10 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
             sets = shingle_sets(texts_of(batch), size)
             filled = [x for x in sets if len(x)]
             rows = iter(minwise(filled)) if filled else iter(())
-            told = [(len(x), _set_hash(x), next(rows).tobytes(), _parity(x)) if len(x) else (0, 0, b"", b"") for x in sets]
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            told = [(len(x), set_hash(x), next(rows).tobytes(), _parity(x, NARROW_BITS), _parity(x, WIDE_BITS)) if len(x) else (0, 0, b"", b"", b"") for x in sets]
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             columns = [pa.array(list(c), t) for c, t in zip(zip(*told, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *columns], names=["doc_id", "digest", "n", "cls", "tokens", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *columns], names=["doc_id", "digest", "n", "cls", "tokens", "narrow", "wide"])
 
     return docs.select("doc_id", "digest", "text").mapInArrow(run, PROFILE)
 
@@ -159,7 +157,7 @@ def _near(n: np.ndarray, bits: np.ndarray, u: int, pool: np.ndarray, percent: in
 
 
 def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, WIDE_BITS // 64)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -167,7 +165,7 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _compare(percent: int, forest: bool):
+def _compare(percent: int, forest: bool, most: int | None):
     """Rows sorted by node in (nodes of SMALL classes at most); pairs that may be similar out, or a forest that spans them."""
 
     def node_pairs(cls, n, bits, root):
@@ -175,7 +173,7 @@ def _compare(percent: int, forest: bool):
         if not forest:
             for u in range(len(cls) - 1):
                 pool = np.arange(u + 1, len(cls))
-                near = _near(n, bits, u, pool[root[pool] != root[u]], percent)
+                near = few_per_root(_near(n, bits, u, pool[root[pool] != root[u]], percent), cls, root, most)
                 out_a.append(np.full(len(near), cls[u]))
                 out_b.append(cls[near])
             return out_a, out_b
@@ -205,7 +203,7 @@ def _compare(percent: int, forest: bool):
                 continue
             done = table.slice(0, until)
             n, cls, root = (done.column(c).to_numpy().astype(np.int64) for c in ("n", "cls", "root"))
-            bits = _bits(done.column("wide"))
+            bits = _bits(done.column("narrow"))
             edges = [0, *(np.flatnonzero(np.diff(node[:until])) + 1).tolist(), until]
             a, b = [], []
             for s, e in zip(edges[:-1], edges[1:]):
@@ -224,34 +222,18 @@ def _and_end(batches):
 
 
 def _against_one(percent: int):
-    """(cls, n, wide, cls_1, n_1, wide_1) in; pairs that may be similar out."""
+    """(cls, n, bits, cls_1, n_1, bits_1) in; pairs that may be similar out."""
 
     def run(batches):
         for batch in batches:
             x, y = batch.column("n").to_numpy().astype(np.int64), batch.column("n_1").to_numpy().astype(np.int64)
-            overlap = (x + y - np.bitwise_count(_bits(batch.column("wide")) ^ _bits(batch.column("wide_1"))).sum(axis=1, dtype=np.int64)) // 2
+            overlap = (x + y - np.bitwise_count(_bits(batch.column("bits")) ^ _bits(batch.column("bits_1"))).sum(axis=1, dtype=np.int64)) // 2
             ok = ((100 + percent) * np.minimum(x, y) >= percent * (x + y)) & ((100 + percent) * overlap >= percent * (x + y))
             yield _pairs([batch.column("cls").to_numpy()[ok]], [batch.column("cls_1").to_numpy()[ok]])
 
     return run
 
 
-def _block_pairs(percent: int):
-    """One task's block (other = 1) and chunk in; pairs of different roots that may be similar out."""
-
-    def run(table: pa.Table) -> pa.Table:
-        n, cls, root = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "cls", "root"))
-        bits, other = _bits(table.column("wide").combine_chunks()), table.column("other").to_numpy() == 1
-        chunk, a, b = np.flatnonzero(~other), [], []
-        for u in np.flatnonzero(other).tolist():
-            near = _near(n, bits, u, chunk[root[chunk] != root[u]], percent)
-            a.append(np.full(len(near), cls[u]))
-            b.append(cls[near])
-        return pa.Table.from_batches([_pairs(a, b)])
-
-    return run
-
-
 class Join:
     """State of one run: the classes, what was compared so far, and the links."""
 
@@ -261,7 +243,7 @@ class Join:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"))
         self.profiles = self.stored(profiles(self.docs, size), "profiles")
         filled = self.profiles.filter("n > 0")
-        self.classes = self.stored(filled.groupBy("n", "cls").agg(F.min("doc_id").alias("first_id"), F.min("digest").alias("digest"), F.first("tokens").alias("tokens"), F.first("wide").alias("wide")), "classes")
+        self.classes = self.stored(filled.groupBy("n", "cls").agg(F.min("doc_id").alias("first_id"), F.min("digest").alias("digest"), *(F.first(c).alias(c) for c in ("tokens", "narrow", "wide"))), "classes")
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         folder = new_folder(self.spark, f"chosen-path-{name}")
@@ -273,8 +255,8 @@ class Join:
             return self.classes.withColumn("root", F.col("cls"))
         return self.classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
-    def leaves(self, trees: Trees, roots: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-        """(node, cls, root, many) of the nodes to compare, small ones and those that stay large."""
+    def leaves(self, trees: Trees, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(node, cls, many) of the nodes to compare, small ones and those that stay large."""
         members = self.rooted(roots).select("tokens", "cls", "root").mapInArrow(_roots_of(trees), MEMBER)
         small, large = None, None
         for level in range(trees.depth):
@@ -288,91 +270,53 @@ class Join:
                 break
             tokens = self.classes.select("cls", "tokens")
             members = large.select("node", "cls", "root").join(tokens, "cls").select("node", "cls", "root", "tokens").mapInArrow(_branch, MEMBER)
-        return small, large
-
-    def candidates(self, trees: Trees, roots: DataFrame | None) -> DataFrame:
-        small, large = self.leaves(trees, roots)
-        sides = self.classes.select("cls", "n", "wide")
-        placed = small.select("node", "cls", "root").join(sides, "cls").repartition("node").sortWithinPartitions("node")
-        pairs = placed.mapInArrow(_compare(self.percent, roots is None), "a long, b long")
+        columns = ["node", "cls", "many"]
+        return self.stored(small.select(columns), "small"), self.stored(large.select(columns), "large")
+
+    def candidates(self, small: DataFrame, large: DataFrame, roots: DataFrame | None, most: int | None) -> DataFrame:
+        """Pairs (a, b) of the leaves that may be similar; with roots, only pairs that would join two of them."""
+        sides = self.rooted(roots).select("cls", "root", "n", "narrow")
+        placed = small.select("node", "cls").join(sides, "cls").repartition("node").sortWithinPartitions("node")
+        pairs = placed.mapInArrow(_compare(self.percent, roots is None, most), "a long, b long")
         if not large.isEmpty():
             filled = large.join(sides, "cls")
-            pairs = pairs.unionByName(self.stars(filled) if roots is None else self.blocks(filled))
+            pairs = pairs.unionByName(self.stars(filled) if roots is None else blocks(filled, "node", ["narrow"], _near, self.percent, BLOCK, most))
         return pairs.distinct()
 
     def stars(self, large: DataFrame) -> DataFrame:
         """Everything in a large node against one class of it."""
-        one = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("cls", "node").alias("draw"), F.col("cls").alias("cls_1"), F.col("n").alias("n_1"), F.col("wide").alias("wide_1"))).alias("one"))
-        met = large.join(one.select("node", "one.cls_1", "one.n_1", "one.wide_1"), "node").filter("cls <> cls_1")
-        return met.select("cls", "n", "wide", "cls_1", "n_1", "wide_1").mapInArrow(_against_one(self.percent), "a long, b long")
-
-    def blocks(self, large: DataFrame) -> DataFrame:
-        """In a large node, blocks of what isn't in its commonest root against chunks of all of it."""
-        counts = large.groupBy("node", "root", "many").agg(F.count("*").alias("rows"))
-        top = counts.groupBy("node", "many").agg(F.max(F.struct("rows", "root")).alias("top")).select(
-            "node", "top.root", F.ceil((F.col("many") - F.col("top.rows")) / BLOCK).alias("blocks"), F.ceil(F.col("many") / CHUNK).alias("chunks"))
-        told = large.join(top.withColumnRenamed("root", "main"), "node")
-        dealt = lambda seed, parts: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(parts))
-        every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
-        columns = ["node", "cls", "root", "n", "wide"]
-        others = told.filter("root <> main").select(*columns, dealt(1, "blocks").alias("block"), every("chunks").alias("chunk"), F.lit(1).alias("other"))
-        whole = told.select(*columns, every("blocks").alias("block"), dealt(2, "chunks").alias("chunk"), F.lit(0).alias("other"))
-        return others.unionByName(whole).groupBy("node", "block", "chunk").applyInArrow(_block_pairs(self.percent), "a long, b long")
-
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """(cls, set) of every class in pairs, from the texts."""
-        asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        keys = self.classes.select("cls", "digest").join(asked, "cls")
-        word = f"digest & {FILTER_WORDS - 1}L"
-        bit = "shiftleft(1L, cast(shiftrightunsigned(digest, 58) as int))"
-        # at most FILTER_WORDS rows, whatever is asked for
-        words = F.broadcast(keys.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or({bit})").alias("bits")))
-        wanted = self.docs.withColumn("word", F.expr(word)).join(words, "word").filter(F.expr(f"(bits & {bit}) <> 0"))
-        size = self.size
-
-        def run(batches):
-            seen = set()  # of one task: exact copies are hashed once
-            for batch in batches:
-                digests = batch.column("digest").to_pylist()
-                new = []
-                for i, digest in enumerate(digests):
-                    if digest not in seen:
-                        seen.add(digest)
-                        new.append(i)
-                for part in text_slices([batch.take(pa.array(new, pa.int64()))]):
-                    sets = [x for x in shingle_sets(texts_of(part), size) if len(x)]
-                    yield pa.RecordBatch.from_arrays([pa.array([_set_hash(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cls", "set"])
-
-        made = wanted.select("digest", "text").mapInArrow(run, "cls long, set binary")
-        return self.stored(made.join(asked, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+        one = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("cls", "node").alias("draw"), F.col("cls").alias("cls_1"), F.col("n").alias("n_1"), F.col("narrow").alias("bits_1"))).alias("one"))
+        met = large.join(one.select("node", "one.cls_1", "one.n_1", "one.bits_1"), "node").filter("cls <> cls_1")
+        return met.select("cls", "n", F.col("narrow").alias("bits"), "cls_1", "n_1", "bits_1").mapInArrow(_against_one(self.percent), "a long, b long")
+
+    def wide(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs that the wide bitmaps allow as well."""
+        side = self.classes.select("cls", "n", F.col("wide").alias("bits"))
+        both = pairs.join(side.withColumnsRenamed({"cls": "a"}), "a").join(side.withColumnsRenamed({"cls": "b", "n": "n_1", "bits": "bits_1"}), "b")
+        return both.select(F.col("a").alias("cls"), "n", "bits", F.col("b").alias("cls_1"), "n_1", "bits_1").mapInArrow(_against_one(self.percent), "a long, b long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those pairs whose full sets are similar."""
-        percent, sets = self.percent, self.sets(pairs)
-
-        def run(batches):
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
-        both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a")
-        return self.stored(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "links")
-
-    def roots(self) -> DataFrame | None:
+        asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        keys = self.stored(self.classes.select("cls", "digest").join(asked, "cls"), "asked")
+        sets = self.stored(exact_sets(self.docs, keys, self.size), "sets")
+        return self.stored(similar(pairs, sets, self.percent), "links")
+
+    def roots(self) -> DataFrame:
         """(node, root) of the classes that have a link."""
-        named = self.stored(self.candidates(FOREST, None), "named")
-        links = self.confirmed(named)
+        tested = self.stored(self.candidates(*self.leaves(FOREST, None), None, None), "named")
+        links = self.confirmed(self.stored(self.wide(tested), "allowed"))
         roots = self.stored(components(links), "roots")
-        more = self.stored(self.candidates(WHOLE, roots).join(named, ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():
-            return roots
-        found = self.confirmed(more)
-        return roots if found.isEmpty() else self.stored(components(links.unionByName(found)), "roots")
+        leaves = self.leaves(WHOLE, roots)
+        for most in PASSES:
+            more = self.stored(self.candidates(*leaves, roots, most).join(tested, ["a", "b"], "left_anti"), "more")
+            if not more.isEmpty():
+                found = self.confirmed(self.stored(self.wide(more), "allowed"))
+                tested = tested.unionByName(more)
+                if not found.isEmpty():
+                    links = links.unionByName(found)
+                    roots = self.stored(components(links), "roots")
+        return roots
 
 
 def dedup(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:

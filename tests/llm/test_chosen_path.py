@@ -28,7 +28,6 @@ def test_large_group(spark, monkeypatch, edits):
     """One group holds a third of all rows, all different: linked, in part, or not at all (nodes that stay large)."""
     monkeypatch.setattr(chosen_path, "SMALL", 8)
     monkeypatch.setattr(chosen_path, "BLOCK", 32)
-    monkeypatch.setattr(chosen_path, "CHUNK", 32)
     rnd = random.Random(edits)
     base = [f"w{i}" for i in range(200)]
     rows = []
