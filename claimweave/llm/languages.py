@@ -7,7 +7,8 @@ on a sample of labelled rows bounded by ``sample_rows`` (a hash of the id decide
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing was
 labelled. The language, source and id of a row never enter its prediction. Rows with a null id are
-predicted, never learned from. Repeated rows get equal answers; empty tables give no rows.
+predicted, never learned from. Very long texts count whole, in a row of fixed size. Ties of margins and
+votes go to the name that comes first. Repeated rows get equal answers; empty tables give no rows.
 """
 
 from __future__ import annotations

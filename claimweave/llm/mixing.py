@@ -10,7 +10,8 @@ Sources by code point, null last, weigh 1, 2, 3, repeating, and share the words
 target exceeds three times its source, what is cut off goes to the others by weight.
 
 Built from DataFrame functions only. Null or wordless texts have size 0 and are never taken; a null
-source is a source, a null id an id. Repeated rows are documents of their own. Streams and ranks are
+source is a source, a null id an id. Repeated rows are documents of their own; rows that tie in the order
+of hashes are equal in all that counts. Very long texts span many blocks. Empty tables give no rows. Streams and ranks are
 summed in buckets first, so that a source with most of the rows is split over tasks.
 """
 

@@ -8,7 +8,9 @@ From the leftmost start on, that rule's own small automata then measure the long
 the next match of the rule begins at or after its end. Matches with too short a tail are dropped
 (after they have taken their place). Spans are in code points, ends exclusive.
 
-Null and empty texts have no span. Repeated rows get equal answers; empty tables give no rows.
+Null and empty texts have no span. Very long texts are scanned in time and memory proportional to their
+length. Spans of different kinds may overlap; of equal starts the order of the rules counts. Repeated rows
+get equal answers; empty tables give no rows.
 """
 
 from __future__ import annotations

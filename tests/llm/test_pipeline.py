@@ -31,8 +31,24 @@ def test_stages(spark):
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
-    for docs in (odd_docs, no_docs):
-        for _, stage in corpus_pipeline.STAGES:
-            path = new_folder(spark, "test-stage")
-            stage(spark, docs, FOLDER).write.parquet(path)
-            docs = spark.read.parquet(path)
+    """Texts in no language go, of repeated rows and copies one stays, all else comes through with all its columns."""
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=repr)
+    docs, seen = odd_docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = new_folder(spark, "test-stage")
+        stage(spark, docs, FOLDER).write.parquet(path)
+        docs = seen[name] = spark.read.parquet(path)
+        assert name == "pack_windows" or docs.columns == odd_docs.columns
+    known = lambda *x: sorted([*x, None, None], key=repr)
+    assert ids(seen["language_id"]) == known(1, 2, 6, 8, 8)
+    assert ids(seen["near_duplicates"]) == ids(seen["secret_scan"]) == known(1, 6, 8)
+    (eight,) = [r["text"] for r in seen["secret_scan"].collect() if r["doc_id"] == 8]
+    assert "AKIA" not in eight and "<access>" in eight and eight.startswith("été")
+    assert set(ids(seen["mix_sources"])) <= set(known(1, 6, 8)) and 6 in ids(seen["mix_sources"])
+    assert set(ids(seen["pack_windows"])) == set(ids(seen["mix_sources"]))
+    docs = no_docs
+    for _, stage in corpus_pipeline.STAGES:
+        path = new_folder(spark, "test-stage")
+        stage(spark, docs, FOLDER).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.count() == 0

@@ -44,10 +44,11 @@ def test_exact_huge_components():
     assert exact_search.products(np.array([[2.0**27, 1.0]]), np.array([[2.0**27, 1.0]])).tolist() == [[2**54 + 1]]
 
 
-def test_permutation_recall(spark):
+@pytest.mark.parametrize("settings", [{"shard_rows": 600}, {}])  # small shards, and as registered
+def test_permutation_recall(spark, settings):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     path = new_folder(spark, "test-index")
-    permutation_index.build(vectors, path, shard_rows=600)
+    permutation_index.build(vectors, path, **settings)
     got = {(r["query_id"], r["vec_id"]): r["score"] for r in permutation_index.search(spark, path, vectors.filter("vec_id % 20 = 0"), k=20).collect()}
     want = {(q, i): s for q, _, i, s in brute(vectors.collect(), lambda i: i % 20 == 0, 20)}
     assert len(got) == len(want) and len(got.keys() & want.keys()) / len(want) >= 0.9
