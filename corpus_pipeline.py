@@ -2,7 +2,13 @@
 
 Every stage but the last returns the columns of ``documents``; the last returns the pieces of the
 packed token sequences. Between stages the rows are written as Parquet to the shared folder and read
-again. Null, empty and repeated rows are treated as the operators' texts say.
+again.
+
+Null and empty texts and texts without a letter are in no language and go at the first stage. Repeated
+rows are near duplicates: one stays. Rows with null ids stay rows of their own unless their texts are
+alike. Other nulls are kept (a null source is a source of its own in the mix, a null language is filled
+in). Ties go to the smaller id, among null ids to the smaller hash of the text. Very long texts pass
+whole. Further columns, whatever their names, go along to the last stage. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -19,9 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are in no language (none, or no letter) go; a missing language is filled in."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     model = languages.fit(rows.filter(languages.remainder(4) != 2))
-    judged = languages.predict(docs, model, docs.columns, ("language found", "language score"))
-    kept = judged.filter(F.col("language found") != languages.UNDECIDED)
-    return kept.withColumn("lang", F.coalesce("lang", "language found")).select(docs.columns)
+    free = "_" * (1 + max(map(len, docs.columns)))  # no column has these names
+    judged = languages.predict(docs, model, docs.columns, (free + "l", free + "s"))
+    kept = judged.filter(F.col(free + "l") != languages.UNDECIDED)
+    return kept.withColumn("lang", F.coalesce("lang", free + "l")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
