@@ -2,6 +2,7 @@ import math
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimweave.operators import audit as A, scoring as S
 
@@ -88,6 +89,13 @@ def test_opinions(spark, sample, owners, band):
     assert got.confidence_band == band
 
 
+def test_a_mean_at_the_limit_does_not_depend_on_the_order(spark):
+    sums = [(0.5 + 0.6 + 0.7, 3), (0.7 + 0.6 + 0.5, 3), (1.7, 3), (None, 0)]
+    df = spark.createDataFrame(sums, "self_conf_sum double, self_conf_n long")
+    factor = S.factor_columns(F.lit(AS_OF).cast("timestamp"))["extraction_quality"]
+    assert sums[0] != sums[1] and [r[0] for r in df.select(factor).collect()] == [None, None, -0.4, None]
+
+
 def test_routing_keeps_human_states(spark):
     rows = [("a", "approved", "disputed"), ("b", "quarantined", "verified"), ("c", "pending", "likely"), ("d", "pending", "disputed"), ("e", "pending", "insufficient")]
     df = spark.createDataFrame(rows, "claim_id string, review_state string, confidence_band string")
