@@ -90,7 +90,7 @@ def validate_claims(proposals: DataFrame, snapshots: DataFrame, max_quotes: int
     def held(q: Column) -> Column:
         t = trim_space(q)
         nq = match_normalize(t)
-        return (F.length(q) >= 4) & (
+        return (F.length(q) >= 4) & (t != "") & (
             F.contains(F.col("_source"), t) | ((F.length(nq) >= MIN_NORMALIZED) & F.contains(F.col("_loose"), nq))
         )
 

@@ -68,6 +68,13 @@ def test_nothing_is_cut(spark):
     assert len(row.quotes) == 9 and len(row.entities) == 9
 
 
+def test_a_blank_quote_is_not_grounded(spark):
+    quotes = ["     ", "\t\n \u3000", "a b   ", "abc"]
+    said = spark.createDataFrame([(1, 1, "a claim about it", "official_fact", "other", quotes, None, 0.5)], "proposal_id long, snapshot_id long, text string, claim_type string, topic string, quotes array<string>, entities array<string>, confidence_self double")
+    row = G.validate_claims(said, spark.createDataFrame([(1, "abc     a b")], "snapshot_id long, text string")).first()
+    assert row.quotes == ["a b   "] and row.kept
+
+
 def test_one_key_at_one_instant_uses_many_tasks(spark):
     rows = spark.range(20000).select(F.lit("k").alias("k"), "id", F.lit(datetime(2024, 1, 1)).alias("ts"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
