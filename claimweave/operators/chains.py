@@ -1,13 +1,12 @@
 """Pointers followed to their end: merged claims, superseded versions.
 
 Each round replaces a pointer by the pointer of what it points to, so a chain of n links takes about
-log2(n) rounds, all chains side by side. Items on or before a cycle have no end and are reported.
+log2(n) rounds, all chains side by side. Items on or before a cycle have no end and are reported; the
+rounds end with the longest chain, whatever the number of items.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
 from claimweave.checkpoints import cut
@@ -21,27 +20,25 @@ def chain_ends(pointers: DataFrame, item: str = "claim_id", into: str = "merged_
     least counts.
     """
     links = pointers.select(F.col(item).alias("item"), F.col(into).alias("at")).filter("item is not null and at is not null")
-    links = cut(links.groupBy("item").agg(F.min("at").alias("at")).withColumn("hops", F.lit(1).cast("long")))
-    moving, done = links, None
-    for _ in range(math.ceil(math.log2(links.count() + 1)) + 1):
-        ahead = moving.select(F.col("item").alias("mid"), F.col("at").alias("then"), F.col("hops").alias("more"))
+    moving = cut(links.groupBy("item").agg(F.min("at").alias("at")).withColumn("hops", F.lit(1).cast("long")))
+    # (item, end, rest): an item whose pointer leads to no item has its end one hop ahead
+    last = moving.join(moving.select(F.col("item").alias("at")), "at", "left_anti")
+    ended, done = cut(last.select("item", F.col("at").alias("end"), F.col("hops").alias("rest"))), None
+    moving = cut(moving.join(ended.select("item"), "item", "left_anti"))
+    while True:
+        done = ended if done is None else done.unionByName(ended)
         # what has come to its end is looked up among the finished, what moves among the moving
-        stepped = moving.join(ahead, F.col("at") == F.col("mid"), "left")
-        if done is not None:
-            ended = done.select(F.col("item").alias("mid_done"), F.col("at").alias("end"), F.col("hops").alias("rest"))
-            stepped = stepped.join(ended, F.col("at") == F.col("mid_done"), "left")
-        else:
-            stepped = stepped.withColumns({"mid_done": F.lit(None).cast("long"), "end": F.lit(None).cast("long"), "rest": F.lit(None).cast("long")})
-        stepped = cut(stepped.select(
-            "item", F.coalesce("end", "then", "at").alias("at"), (F.col("hops") + F.coalesce("rest", "more", F.lit(0))).alias("hops"),
-            (F.col("mid").isNull() | F.col("mid_done").isNotNull()).alias("over"),
-        ))
-        finished = stepped.filter("over").drop("over")
-        done = finished if done is None else done.unionByName(finished)
-        moving = stepped.filter("not over").drop("over")
-        if moving.isEmpty():
+        ways = done.select(F.col("item").alias("at"), F.col("end").alias("then"), F.col("rest").alias("more"), F.lit(True).alias("over")).unionByName(
+            moving.select(F.col("item").alias("at"), F.col("at").alias("then"), F.col("hops").alias("more"), F.lit(False).alias("over"))
+        )
+        stepped = cut(moving.join(ways, "at").select("item", F.col("then").alias("at"), (F.col("hops") + F.col("more")).alias("hops"), "over"))
+        ended = stepped.filter("over").select("item", F.col("at").alias("end"), F.col("hops").alias("rest"))
+        # round k ends the items from 2^(k-1) + 1 to 2^k hops before their end, and every longer way passes such
+        # items: when a round ends none, what still moves is on a cycle or leads into one
+        if ended.isEmpty():
             break
-    ends = done.select("item", F.col("at").alias("last"), "hops", F.lit(False).alias("cycle"))
+        moving = stepped.filter("not over").drop("over")
+    ends = done.select("item", F.col("end").alias("last"), F.col("rest").alias("hops"), F.lit(False).alias("cycle"))
     lost = moving.select("item", F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("hops"), F.lit(True).alias("cycle"))
     return ends.unionByName(lost).withColumnRenamed("item", item)
 

@@ -1,6 +1,6 @@
 """Chains of merges: a thousand in about ten rounds, cycles, log and index removal."""
 
-from claimweave.operators import search as J
+from claimweave.operators import chains, search as J
 from claimweave.operators.chains import chain_ends, merge_to_ends
 
 
@@ -14,6 +14,15 @@ def test_long_chain_hub_and_cycles(spark):
     assert chain_ends(spark.createDataFrame([], "claim_id long, merged_into long")).count() == 0
 
 
+def test_rounds_follow_the_longest_chain_not_the_number_of_items(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(chains, "cut", lambda df: made.append(1) or df.localCheckpoint())
+    rows = [(i, i + 1) for i in range(4000) if i % 5 < 4] + [(9001, 9002), (9002, 9001), (9000, 9001)]
+    got = chain_ends(spark.createDataFrame(rows, "claim_id long, merged_into long"))
+    assert got.filter("not cycle and last = claim_id + hops and last % 5 = 4").count() == 3200 and got.filter("cycle").count() == 3
+    assert len(made) <= 6
+
+
 def test_merges_move_edges_log_and_index(spark):
     schema = "claim_id long, project_id string, text string, review_state string, merged_into long, rank string"
     claims = spark.createDataFrame([(i, "p", f"word{i} shared", "approved", 2 if i == 1 else None, "normal") for i in range(6)], schema)
