@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from claimweave.checkpoints import new_folder
 from claimweave.llm.batches import give_back, text_slices, texts_of
-from claimweave.llm.tokens import TOKEN_SLICE, encoder
+from claimweave.llm.tokens import encoder
 
 WINDOW = 2048
 #: Rests packed together by one task.
 GROUP_RESTS = 1 << 15
+#: Text bytes encoded at a time: as much as elsewhere, since both workers of an executor hold the arrays of a slice.
+PACK_SLICE = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -86,7 +88,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
 
     def cut(batches):
         part, row = TaskContext.get().partitionId(), 0
-        for batch in text_slices(batches, limit=TOKEN_SLICE):
+        for batch in text_slices(batches, limit=PACK_SLICE):
             ids, at = encoder(tokenizer).encode_with_end(texts_of(batch), end_id)
             data, doc_ids, out = ids.astype("<u4").tobytes(), batch.column("doc_id").to_pylist(), []
             for doc_id, a, b in zip(doc_ids, at[:-1].tolist(), at[1:].tolist(), strict=True):
