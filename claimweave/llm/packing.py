@@ -29,6 +29,8 @@ WINDOW = 2048
 GROUP_RESTS = 1 << 15
 #: Text bytes encoded at a time: as much as elsewhere, since both workers of an executor hold the arrays of a slice.
 PACK_SLICE = 1 << 20
+#: Words a worker keeps while packing, before it starts afresh.
+PACK_WORDS = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -89,6 +91,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     def cut(batches):
         part, row = TaskContext.get().partitionId(), 0
         for batch in text_slices(batches, limit=PACK_SLICE):
+            if len(encoder(tokenizer).known) > PACK_WORDS:
+                encoder(tokenizer).forget()
             ids, at = encoder(tokenizer).encode_with_end(texts_of(batch), end_id)
             data, doc_ids, out = ids.astype("<u4").tobytes(), batch.column("doc_id").to_pylist(), []
             for doc_id, a, b in zip(doc_ids, at[:-1].tolist(), at[1:].tolist(), strict=True):
