@@ -22,15 +22,13 @@ from pyspark.sql import functions as F
 
 from claimweave.checkpoints import new_folder
 from claimweave.llm.batches import give_back, text_slices, texts_of
-from claimweave.llm.tokens import encoder
+from claimweave.llm.tokens import MEMO_WORDS, encoder
 
 WINDOW = 2048
 #: Rests packed together by one task.
 GROUP_RESTS = 1 << 15
 #: Text bytes encoded at a time: as much as elsewhere, since both workers of an executor hold the arrays of a slice.
 PACK_SLICE = 1 << 20
-#: Words a worker keeps while packing, before it starts afresh.
-PACK_WORDS = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -84,14 +82,17 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return number, offset
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, group_rests: int = GROUP_RESTS) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, group_rests: int = GROUP_RESTS, keep_words: int = MEMO_WORDS) -> DataFrame:
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``keep_words``: known words after which a worker starts afresh; fewer take less memory and more time.
+    """
     spark = docs.sparkSession
 
     def cut(batches):
         part, row = TaskContext.get().partitionId(), 0
         for batch in text_slices(batches, limit=PACK_SLICE):
-            if len(encoder(tokenizer).known) > PACK_WORDS:
+            if len(encoder(tokenizer).known) > keep_words:
                 encoder(tokenizer).forget()
             ids, at = encoder(tokenizer).encode_with_end(texts_of(batch), end_id)
             data, doc_ids, out = ids.astype("<u4").tobytes(), batch.column("doc_id").to_pylist(), []

@@ -47,7 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, byte_bpe())
+    # after four stages the workers and the JVM already hold much of an executor, so fewer words are kept here
+    return packing.pack(docs, byte_bpe(), keep_words=250_000)
 
 
 STAGES = [

@@ -78,3 +78,6 @@ def test_packing_covers_every_id_once(spark, odd_docs, no_docs):
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert s.length.sum() <= 16 and (s.offset.values == np.cumsum(s.length.values) - s.length.values).all()
     assert packing.pack(no_docs, PATH).count() == 0
+    few = packing.pack(odd_docs, PATH, window=16, group_rests=4, keep_words=0).toPandas()  # forgets before every slice
+    content = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert sorted(map(tuple, few[content].fillna(-1).values)) == sorted(map(tuple, got[content].fillna(-1).values))
