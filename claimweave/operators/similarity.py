@@ -60,17 +60,38 @@ def simhash(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame
     return simhash_of_tokens(tokens, keys)
 
 
+#: Longs of a parity bitmap, and the columns of an index of candidate keys.
+_BITS = ("bits_0", "bits_1")
+_INDEX = [*_KEY, "ord", "short", "n_tok", "at", "simhash", *_BITS]
+
+
+def _parity(tokens: str, part: int) -> Column:
+    """Which of the 64 buckets of this part of the bitmap hold an odd number of the tokens."""
+    own = f"filter({tokens}, x -> ((x >> 6) & {len(_BITS) - 1}) = {part})"
+    return F.expr(f"aggregate({own}, 0L, (bits, x) -> bits ^ shiftleft(1L, cast(x & 63 as int)))")
+
+
 def _prefix_index(reps: DataFrame, t: float) -> DataFrame:
-    """Candidate keys for Jaccard at least t; tokens that occur once can be shared by nobody."""
-    toks = reps.select("grp", "ord", "short", "n_tok", F.explode("tokens").alias("bucket"))
-    freq = toks.groupBy("grp", "bucket").agg(F.count(F.lit(1)).alias("freq"))
-    ranked = toks.join(freq, ["grp", "bucket"]).groupBy("grp", "ord", "short", "n_tok").agg(
+    """Candidate keys for Jaccard at least t; tokens that occur once can be shared by nobody.
+
+    Those come first in the order, so they only push the others back: they are counted, not sorted.
+    ``at`` is the key's place among all tokens of the text.
+    """
+    toks = reps.select("grp", "ord", F.explode("tokens").alias("bucket"))
+    freq = toks.groupBy("grp", "bucket").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1")
+    # repeated tokens are few beside all, so these are not sorted
+    ranked = toks.join(freq.hint("shuffle_hash"), ["grp", "bucket"]).groupBy("grp", "ord").agg(
         F.array_sort(F.collect_list(F.struct("freq", "bucket"))).alias("sorted")
     )
-    keep = F.col("n_tok") - F.ceil(F.col("n_tok") * t - 1e-9) + 1
-    out = ranked.select("grp", "ord", "short", "n_tok", F.explode(F.slice("sorted", F.lit(1), keep.cast("int"))).alias("p"))
-    out = out.filter(F.col("p.freq") > 1)
-    return out.select("grp", F.lit(-1).alias("kind"), F.col("p.bucket").alias("bucket"), "ord", "short", "n_tok", F.lit(0).cast("long").alias("simhash"))
+    told = reps.select("grp", "ord", "short", "n_tok", *[_parity("tokens", i).alias(c) for i, c in enumerate(_BITS)])
+    ranked = ranked.join(told, ["grp", "ord"]).withColumn("alone", F.col("n_tok") - F.size("sorted"))
+    keep = F.col("n_tok") - F.ceil(F.col("n_tok") * t - 1e-9) + 1 - F.col("alone")
+    ranked = ranked.withColumn("prefix", F.slice("sorted", F.lit(1), F.greatest(keep.cast("int"), F.lit(0))))
+    out = ranked.select("*", F.posexplode("prefix").alias("i", "p"))
+    return out.select(
+        "grp", F.lit(-1).alias("kind"), F.col("p.bucket").alias("bucket"), "ord", "short", "n_tok", (F.col("alone") + F.col("i") + 1).alias("at"),
+        F.lit(0).cast("long").alias("simhash"), *_BITS,
+    )
 
 
 def _block_index(hashed: DataFrame, k: int) -> DataFrame:
@@ -84,13 +105,19 @@ def _block_index(hashed: DataFrame, k: int) -> DataFrame:
         *[F.struct(F.lit(i).alias("kind"), F.col("simhash").bitwiseAND(F.lit(m).cast("long")).alias("bucket")) for i, m in enumerate(signed)]
     )
     out = hashed.select("grp", "ord", "simhash", F.explode(choices).alias("c"))
-    out = out.select("grp", "c.kind", "c.bucket", "ord", F.lit(False).alias("short"), F.lit(0).alias("n_tok"), "simhash")
+    none = [F.lit(0).cast("long").alias(c) for c in _BITS]
+    out = out.select("grp", "c.kind", "c.bucket", "ord", F.lit(False).alias("short"), F.lit(0).alias("n_tok"), F.lit(0).alias("at"), "simhash", *none)
     shared = out.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n")
     return out.join(shared, _KEY, "left_semi")
 
 
-def _verified(a: DataFrame, b: DataFrame, tokens: DataFrame, t: float, k: int) -> DataFrame:
-    """Pairs (a, b) of index rows with a before b that really are duplicates."""
+def _candidates(a: DataFrame, b: DataFrame, t: float, k: int) -> DataFrame:
+    """Pairs (a, b, by_sets) of index rows with a before b that may be duplicates; those by simhash are.
+
+    Before any pair moves, sizes, places and bitmaps bound what two sets can share: at their first common
+    key no more than that key and what follows it in both, and never more than (n_x + n_y - differing
+    bits) / 2. Duplicates share at least t / (1 + t) of n_x + n_y.
+    """
     x, y = a.alias("x"), b.alias("y")
     same = (F.col("x.ord") < F.col("y.ord")) & F.col("x.grp").eqNullSafe(F.col("y.grp"))
     for c in ("kind", "bucket"):
@@ -98,12 +125,21 @@ def _verified(a: DataFrame, b: DataFrame, tokens: DataFrame, t: float, k: int) -
     by_sets = F.col("x.kind") < 0
     small = F.least("x.n_tok", "y.n_tok")
     big = F.greatest("x.n_tok", "y.n_tok")
-    possible = F.when(by_sets, (F.col("x.short") | F.col("y.short")) & (small >= big * t - 1e-9)).otherwise(
+    both = F.col("x.n_tok") + F.col("y.n_tok")
+    rest = F.least(F.col("x.n_tok") - F.col("x.at"), F.col("y.n_tok") - F.col("y.at")) + 1
+    differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _BITS])
+    near_sets = (small >= big * t - 1e-9) & (rest * (1 + t) >= both * t - 1e-6) & ((both - differ) * (1 + t) >= both * (2 * t) - 1e-6)
+    possible = F.when(by_sets, (F.col("x.short") | F.col("y.short")) & near_sets).otherwise(
         hamming(F.col("x.simhash"), F.col("y.simhash")) <= k
     )
-    pairs = x.join(y, same).filter(possible).groupBy(F.col("x.ord").alias("a"), F.col("y.ord").alias("b")).agg(
+    return x.join(y, same).filter(possible).groupBy(F.col("x.ord").alias("a"), F.col("y.ord").alias("b")).agg(
         F.bool_and(by_sets).alias("by_sets")
     )
+
+
+def _verified(a: DataFrame, b: DataFrame, tokens: DataFrame, t: float, k: int) -> DataFrame:
+    """Pairs (a, b) of index rows with a before b that really are duplicates."""
+    pairs = _candidates(a, b, t, k)
     near = pairs.filter(~F.col("by_sets")).select("a", "b")
     ta = tokens.select(F.col("ord").alias("a"), F.col("tokens").alias("ta"))
     tb = tokens.select(F.col("ord").alias("b"), F.col("tokens").alias("tb"))
@@ -143,7 +179,7 @@ def leader_clusters(
     base = cut(base)
     first = base.groupBy("grp", "sig").agg(F.min("ord").alias("rep"))
     copies = base.select("grp", "sig", "ord").join(first, ["grp", "sig"]).select("grp", "ord", "rep")
-    reps = base.join(first.select(F.col("rep").alias("ord")), "ord", "left_semi")
+    reps = cut(base.join(first.select(F.col("rep").alias("ord")), "ord", "left_semi"))
 
     by_sets = reps
     if short_text is not None:
@@ -153,27 +189,29 @@ def leader_clusters(
         long = reps.filter(~F.col("short")).select("grp", "ord", F.explode_outer("all_tokens").alias("token"))
         index = index.unionByName(_block_index(simhash_of_tokens(long, ["grp", "ord"]), hamming_max))
     # texts without any token are equal sets and share one key of their own
-    bare = reps.filter("n_tok = 0").select(
-        "grp", F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("bucket"), "ord", "short", "n_tok", F.lit(0).cast("long").alias("simhash")
-    )
-    index = cut(index.unionByName(bare))
-    tokens = by_sets.select("ord", "tokens")
+    zero = [F.lit(0).cast("long").alias(c) for c in ("simhash", *_BITS)]
+    bare = reps.filter("n_tok = 0").select("grp", F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("bucket"), "ord", "short", "n_tok", F.lit(0).alias("at"), *zero)
+    index = live = cut(index.select(_INDEX).unionByName(bare))
+    held = lambda df: cut(df.join(index.select("ord").distinct(), "ord", "left_semi"))
+    tokens = held(by_sets.select("ord", "tokens"))
 
-    undecided = index.select("ord").distinct()
+    # live: the rows of undecided items; index: all rows of keys that have one; tokens: of the items in it
     hits: list[DataFrame] = []
-    while not undecided.isEmpty():
-        live = index.join(undecided, "ord", "left_semi")
+    while not live.isEmpty():
         heads = cut(top_per_key(live, _KEY, [F.col("ord")], pivots).drop("pos"))
         all_keys = live.groupBy("ord").agg(F.count(F.lit(1)).alias("n"))
         seen = heads.groupBy("ord").agg(F.count(F.lit(1)).alias("n"))
         visible = seen.join(all_keys, ["ord", "n"], "left_semi").select("ord")
         doubles = _verified(heads, heads.join(visible, "ord", "left_semi"), tokens, jaccard_min, hamming_max)
         leaders = cut(visible.join(doubles.select(F.col("b").alias("ord")), "ord", "left_anti"))
-        rows = index.join(leaders, "ord", "left_semi")
+        rows = live.join(leaders, "ord", "left_semi")
         found = cut(_verified(rows, index, tokens, jaccard_min, hamming_max))
         hits.append(found)
         taken = leaders.unionByName(found.select(F.col("b").alias("ord"))).distinct()
-        undecided = cut(undecided.join(taken, "ord", "left_anti"))
+        live = cut(live.join(taken, "ord", "left_anti"))
+        if not live.isEmpty():
+            index = cut(index.join(live.select(*_KEY).distinct(), _KEY, "left_semi"))
+            tokens = held(tokens)
         pivots *= 2  # so that the number of rounds grows with the logarithm of the largest key
 
     if hits:

@@ -104,6 +104,30 @@ def test_leader_clusters_match_the_sequential_rule(spark, seed, pivots):
     assert got == sequential(rows)
 
 
+def test_leader_clusters_by_the_mixed_rule(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    bases = [[rnd.choice(words) for _ in range(rnd.choice([6, 12, 40, 180, 300]))] for _ in range(15)]
+    rows = []
+    for i in range(160):
+        parts = list(bases[0] if i % 3 == 0 else rnd.choice(bases))
+        for _ in range(rnd.choice([0, 0, 1, 2, 5])):
+            parts[rnd.randrange(len(parts))] = rnd.choice(words)
+        rows.append((i, ",".join(parts) if rnd.random() > 0.04 else rnd.choice(["!!", "?", "é" * 500])))
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r.cluster for r in N.leader_clusters(df, "id", "id", short_text=N.SHORT_TEXT, pivots=2).collect()}
+    assert got == sequential(rows)
+
+
+def test_sets_that_only_share_a_rare_token_never_become_pairs(spark):
+    rows = [(i, ",".join([f"rare{i % 20}", *(f"{'c' if i < 20 else 'd'}{j}" for j in range(9))])) for i in range(40)]
+    reps = spark.createDataFrame(rows, "ord long, text string").withColumns({"grp": F.lit(0), "short": F.lit(True)})
+    reps = reps.withColumn("tokens", F.array_distinct(N.hashed_shingles(F.col("text")))).withColumn("n_tok", F.size("tokens"))
+    index = N._prefix_index(reps, 0.82)
+    assert index.groupBy("bucket").count().filter("count = 2").count() == 20
+    assert N._candidates(index, index, 0.82, 3).filter("a < 20 and b >= 20").count() == 0
+
+
 def test_astroturf(spark):
     base = datetime(2026, 1, 1)
     rows = [("s", i, "这个游戏真的太好玩了强烈推荐" if i < 4 else f"第{i}条 完全不同的看法 {i * 7919}", base + timedelta(hours=i if i < 6 else 100 * i)) for i in range(10)]
