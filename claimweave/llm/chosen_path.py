@@ -314,8 +314,9 @@ class Join:
                 found = self.confirmed(self.stored(self.wide(more), "allowed"))
                 tested = tested.unionByName(more)
                 if not found.isEmpty():
-                    links = links.unionByName(found)
-                    roots = self.stored(components(links), "roots")
+                    # the roots so far connect what all links so far do, by a row a class
+                    known = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+                    roots = self.stored(components(known.unionByName(found)), "roots")
         return roots
 
 

@@ -98,6 +98,29 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
 
 
+@pytest.mark.parametrize("part, steps", [(1 << 16, 0), (100, None)])
+def test_components_of_many_links(spark, monkeypatch, part, steps):
+    """Links that fit one part take no star step at all; more links give the same roots."""
+    from claimweave.llm import components as module
+
+    taken, star = [], module._small_star
+    monkeypatch.setattr(module, "PART", part)
+    monkeypatch.setattr(module, "_small_star", lambda links: taken.append(1) or star(links))
+    rnd = random.Random(part)
+    pairs = [(rnd.randrange(900), rnd.randrange(900)) for _ in range(600)]
+    want = {i: i for i in range(900)}
+    for _ in range(900):
+        before = dict(want)
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+        if want == before:
+            break
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: want[x] for x in linked}
+    assert steps is None or len(taken) == steps
+
+
 @pytest.mark.parametrize("edits", [3, 6, 9])
 def test_one_tile_with_a_third_of_all_rows(spark, edits):
     """Near copies of one text, all different, share their prefix shingles: linked, in part, or not at all."""
