@@ -34,7 +34,9 @@ def read_lookups(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_lookups(payloads: DataFrame, column: str, keys: list[str]) -> DataFrame:
     parsed = payloads.select(*keys, F.from_json(column, LOOKUP).alias("r"))
-    return parsed.select(*keys, F.explode("r.results").alias("app")).select(*keys, "app.*")
+    # an outer explode infers no filter, which would parse every payload once more; rows without results have no place
+    apps = parsed.select(*keys, F.posexplode_outer("r.results").alias("_at", "app")).filter(F.col("_at").isNotNull())
+    return apps.select(*keys, "app.*")
 
 
 def app_text(country: str = "CN") -> Column:

@@ -71,6 +71,25 @@ def test_store_lookup_to_facts(spark, tmp_path):
     assert ents == {("company", "米"), ("term", "角色扮演"), ("term", "冒险")}
 
 
+def test_labels_are_sought_once_a_text(spark):
+    """One search a text, one parse a payload; the first line of a label counts, and a blank value is no fact."""
+    text = "开发商:  甲 \n开发商/发行商: 乙\n发行商: 丙\n价格: 30 {s} 元\n类型:   \n主分类: 丁\nApp Store(CN) 平均评分: 4.20 (9 个评分)"
+    docs = spark.createDataFrame([(1, "星", text), (2, None, "价格: x"), (3, "空", None), (4, "空", "")], "k int, name string, text string")
+    facts = E.metadata_facts(docs, ["k"])
+    got = {(r.k, r.predicate): (r.value, r.number, r.claim_text, r.quote) for r in facts.collect()}
+    assert got == {
+        (1, "developer"): ("甲", None, "《星》的开发商/发行商是 甲", "开发商:  甲"), (1, "publisher"): ("丙", None, "《星》的发行商是 丙", "发行商: 丙"),
+        (1, "price"): ("30", 30.0, "《星》的价格为 30 {s} 元", "价格: 30 {s} 元"), (1, "appstore_rating"): ("4.20", 4.2, "《星》App Store(CN) 平均评分为 4.20 (9 个评分)", "App Store(CN) 平均评分: 4.20 (9 个评分)"),
+        (2, "price"): ("x", None, None, "价格: x"),
+    }
+    few = E.metadata_facts(docs, ["k"], predicates=["price", "publisher"])
+    assert {r.predicate for r in few.collect()} == {"price", "publisher"}
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?m)") == 1
+    parsed = ST.parse_lookups(spark.createDataFrame([("{}",)], "p string"), "p", [])
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 1
+
+
 def test_review_json_aliases(spark):
     rows = [json.dumps(r, ensure_ascii=False) for r in [
         {"content": "非常好玩的游戏", "score": 5, "author": "甲", "upVotes": 3}, {"text": "一般般吧还可以", "rating": 3, "user": "乙", "like_count": 1, "id": "r2"}, {"body": "短"}]]
