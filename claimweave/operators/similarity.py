@@ -249,29 +249,42 @@ def near_duplicate_claims(claims: DataFrame, order: str = "claim_id") -> DataFra
     return out.filter(F.col("cluster") != F.col("claim_id")).select("claim_id", F.col("cluster").alias("canonical_id"))
 
 
-def burst_share(items: DataFrame, keys: Sequence[str], ts: str, hours: int = 24, bucket: str = "hour") -> DataFrame:
-    """Per key: dated rows and the largest share of them inside any window of some hours.
+def micros(items: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp with or without zone."""
+    if dict(items.dtypes)[ts] == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
-    Counts per instant come first. The count of a window is the difference of two running counts; a
-    running count is the total of earlier buckets plus the position inside one bucket, so no task ever
-    sorts a whole key.
+
+def whole(x: Column, width: int) -> Column:
+    """How many whole widths a number holds, rounded down."""
+    return ((x - F.pmod(x, F.lit(width))) / width).cast("long")
+
+
+def most_from_each_hour(items: DataFrame, keys: Sequence[str], ts: str, hours: int = 24) -> DataFrame:
+    """Per key and hour (whole hours since 1970) with rows: its rows (n) and the most rows of a window of so many hours that starts in it.
+
+    Both ends of a window count. What a window holds of the hours between its first and its last is a sum
+    of hourly counts; what it holds of these two is told by a running count over the instants of both. So
+    a task sorts the instants of two hours of a key, and every instant moves twice.
     """
-    width = F.make_interval(hours=F.lit(hours))
-    points = items.filter(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).alias("at")).agg(F.count(F.lit(1)).alias("c"))
-    starts = points.select(*keys, F.col("at").alias("x"), "c", F.col("at").alias("start"), F.lit(0).alias("probe"))
-    ends = points.select(*keys, (F.col("at") + width).alias("x"), F.lit(0).cast("long").alias("c"), F.col("at").alias("start"), F.lit(1).alias("probe"))
-    marks = starts.unionByName(ends).withColumn("b", F.date_trunc(bucket, "x"))
-    totals = marks.groupBy(*keys, "b").agg(F.sum("c").alias("t"))
-    earlier = W.partitionBy(*keys).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.withColumn("base", F.coalesce(F.sum("t").over(earlier), F.lit(0))).drop("t")
-    inside = W.partitionBy(*keys, "b").orderBy("x").rangeBetween(W.unboundedPreceding, W.currentRow)
-    run = marks.withColumn("run", F.sum("c").over(inside)).join(totals, [*keys, "b"]).withColumn("run", F.col("run") + F.col("base"))
-    window = run.groupBy(*keys, "start").agg(
-        F.max(F.when(F.col("probe") == 1, F.col("run"))).alias("upto"),
-        F.max(F.when(F.col("probe") == 0, F.col("run") - F.col("c"))).alias("before"),
-        F.sum("c").alias("c"),
-    )
-    out = window.groupBy(*keys).agg(F.sum("c").alias("n_dated"), F.max(F.col("upto") - F.col("before")).alias("max_in_window"))
+    hour = 3_600_000_000
+    points = items.filter(F.col(ts).isNotNull()).groupBy(*keys, micros(items, ts).alias("at")).agg(F.count(F.lit(1)).alias("c"))
+    none = F.lit(0).cast("long")
+    marks = F.array(F.struct(F.col("at").alias("x"), F.col("c").alias("starts"), none.alias("ends")), F.struct((F.col("at") - hours * hour).alias("x"), none.alias("starts"), F.col("c").alias("ends")))
+    marks = points.select(*keys, F.inline(marks)).withColumn("hour", whole(F.col("x"), hour))
+    upto = W.partitionBy(*keys, "hour").orderBy("x").rangeBetween(W.unboundedPreceding, W.currentRow)
+    # of its own hour a window misses what starts before it, of the last it holds what ends with it
+    edge = F.sum(F.col("ends") - F.col("starts")).over(upto) + F.sum("starts").over(W.partitionBy(*keys, "hour", "x"))
+    each = marks.withColumn("edge", edge).groupBy(*keys, "hour").agg(F.sum("starts").alias("n"), F.max(F.when(F.col("starts") > 0, F.col("edge"))).alias("edge"))
+    each = each.filter("n > 0")  # one row a key and hour
+    between = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("hour").rangeBetween(1, hours - 1)), none) if hours > 1 else none
+    return each.select(*keys, "hour", "n", (F.col("edge") + F.col("n") + between).alias("most"))
+
+
+def burst_share(items: DataFrame, keys: Sequence[str], ts: str, hours: int = 24) -> DataFrame:
+    """Per key: dated rows and the largest share of them inside any window of some hours."""
+    out = most_from_each_hour(items, keys, ts, hours).groupBy(*keys).agg(F.sum("n").alias("n_dated"), F.max("most").alias("max_in_window"))
     return out.withColumn("burst_ratio", F.when(F.col("n_dated") >= 5, F.col("max_in_window") / F.col("n_dated")).otherwise(0.0))
 
 

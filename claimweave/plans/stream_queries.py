@@ -72,12 +72,12 @@ def burst_stream(t: Tables) -> DataFrame:
     "SELECT user_id, max(n) AS most FROM (SELECT user_id, w, count(*) AS n FROM (SELECT user_id, date_trunc('hour', ts) - to_hours(i) AS w FROM {events}, range(24) r(i)) a GROUP BY ALL) b GROUP BY user_id",
 )
 def burst_stream_hours(t: Tables) -> DataFrame:
-    """Windows that start on the hour, from Spark's own windowed state."""
+    """Windows that start on the hour, from hours counted in Spark's own windowed state."""
     rows = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     out, _, offsets = folders(t, "burst")
-    start = lambda s: ST.write_batches(ST.bursts(s, "user_id", "ts"), out, offsets, "update")
+    start = lambda s: ST.write_batches(ST.hourly_counts(s, "user_id", "ts"), out, offsets, "update")
     found = arrive(t, rows, "ts", DAYS, start, out)
-    return found.groupBy("user_id").agg(F.max("n").alias("most"))
+    return ST.burst_windows(found, "user_id").groupBy("user_id").agg(F.max("n").alias("most"))
 
 
 @query(

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from claimweave.checkpoints import cut
 from claimweave.operators.bucketed import BucketedLog
 from claimweave.operators.merge import repeat_runs, snapshot_changes
 from claimweave.operators.search_index import TextIndex
-from claimweave.operators.similarity import burst_share
+from claimweave.operators.similarity import micros, most_from_each_hour, whole
 
 DEFAULT_RPM, UNKNOWN_RPM = 120, 20
 Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
@@ -45,37 +45,49 @@ def calls_per_minute(calls: DataFrame, limits: DataFrame, late: str = "10 minute
     return j.filter(F.col("n") > F.col("rpm")).select("key_id", F.col("window.start").alias("minute"), "n", "rpm")
 
 
-def bursts(reviews: DataFrame, key: str, ts: str, late: str = "24 hours") -> DataFrame:
-    """Rows per key in every 24-hour window that starts on the hour (the batch form is exact to the instant)."""
-    return reviews.withWatermark(ts, late).groupBy(F.window(ts, "24 hours", "1 hour"), key).agg(F.count(F.lit(1)).alias("n")).select(
-        key, F.col("window.start").alias("starts"), "n"
+def hourly_counts(reviews: DataFrame, key: str, ts: str, late: str = "24 hours") -> DataFrame:
+    """Rows per key and hour, kept in Spark's windowed state; ``burst_windows`` makes longer windows of them.
+
+    One state row an hour serves all windows that hold it, where sliding windows keep one each. A row
+    counts as long as any 24-hour window that holds it is not older than ``late``.
+    """
+    kept = f"{late} 24 hours"
+    return reviews.withWatermark(ts, kept).groupBy(F.window(ts, "1 hour"), key).agg(F.count(F.lit(1)).alias("n")).select(
+        key, F.col("window.start").alias("hour"), "n"
     )
 
 
+def burst_windows(counts: DataFrame, key: str, hours: int = 24) -> DataFrame:
+    """Rows per key in the window that starts on each hour in which it has rows, from the updates of ``hourly_counts``.
+
+    A window that starts on another hour holds no more than the one that starts on its first row's hour.
+    """
+    newest = counts.groupBy(key, "hour").agg(F.max("n").alias("n"))
+    ahead = W.partitionBy(key).orderBy(F.unix_seconds("hour")).rangeBetween(W.currentRow, (hours - 1) * 3600)
+    return newest.select(key, F.col("hour").alias("starts"), F.sum("n").over(ahead).alias("n"))
+
+
 class BurstState:
     """Most rows of a key inside any window of some hours, exact to the instant, kept up to date batch by batch.
 
-    New rows can only change windows that start on their own day or the days a window reaches back. Those
-    days are counted anew from the stored instants of the key; everything else stays as it is.
+    New rows can only change windows that start in their own hour or the hours a window reaches back. Those
+    hours' days are counted anew from the stored instants of the key; everything else stays as it is.
     """
 
     def __init__(self, spark: SparkSession, key: str, ts: str, hours: int = 24, buckets: int | None = None):
         self.key, self.ts, self.hours = key, ts, hours
         self.points, self.days = (BucketedLog(spark, name, key, buckets) for name in ("burst_points", "burst_days"))
 
-    def _reach(self, rows: DataFrame) -> DataFrame:
-        """Each row once for every day on which a window that holds it may start."""
-        back = F.sequence(F.lit(0), F.lit(-(-self.hours // 24)))
-        return rows.withColumn("_day", F.explode(F.transform(back, lambda i: F.date_sub(F.to_date(self.ts), i))))
-
     def add(self, rows: DataFrame, batch: str | None = None) -> None:
         rows = cut(rows.select(self.key, self.ts).filter(F.col(self.ts).isNotNull()))
         self.points.append(rows, batch)
-        touched = cut(self._reach(rows).select(self.key, "_day").distinct())
-        known = self.points.rows().join(touched.select(self.key).distinct(), self.key, "left_semi")
-        near = self._reach(known).join(touched, [self.key, "_day"], "left_semi")
-        counted = burst_share(near, [self.key, "_day"], self.ts, self.hours)
-        self.days.append(counted.select(self.key, "_day", "max_in_window"), batch)
+        reach, day = -(-self.hours // 24), whole(micros(rows, self.ts), 24 * 3_600_000_000)
+        on = lambda df, back, sign: df.select(self.key, F.explode(F.sequence(F.lit(0), F.lit(back))).alias("_back"), "_day").select(self.key, (F.col("_day") + sign * F.col("_back")).alias("_day")).distinct()
+        touched = cut(on(rows.select(self.key, day.alias("_day")).distinct(), reach, -1))
+        known = self.points.rows().withColumn("_day", day).join(on(touched, reach, 1), [self.key, "_day"], "left_semi")
+        hourly = most_from_each_hour(known, [self.key], self.ts, self.hours)
+        daily = hourly.groupBy(self.key, whole(F.col("hour"), 24).alias("_day")).agg(F.max("most").alias("max_in_window"))
+        self.days.append(daily.join(touched, [self.key, "_day"], "left_semi"), batch)
 
     def most(self) -> DataFrame:
         """(key, most)."""
