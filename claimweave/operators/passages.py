@@ -11,9 +11,11 @@ verified, and located, like stored quotes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from claimweave.checkpoints import cut
 from claimweave.functions.text import match_normalize, trim_space
@@ -22,6 +24,8 @@ from claimweave.operators.grounding import MIN_NORMALIZED, locate
 SIZE, WINDOW = 8, 9
 #: Characters of the runs that shorter passages are looked up by.
 SHORT = MIN_NORMALIZED
+#: Hashes that a task gathers before it gives them out (a text's own may be more).
+HELD = 1 << 17
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -39,40 +43,48 @@ def _runs(text: str | None, size: int) -> np.ndarray:
     return out
 
 
-def anchors(text: Column, size: int = SIZE, window: int = WINDOW) -> Column:
+def _anchors(value: str | None, size: int, window: int) -> np.ndarray:
     """Least hash of every ``window`` neighbouring runs, each once."""
+    hashes = _runs(value, size)
+    if len(hashes) < window:
+        return np.zeros(0, dtype=np.int64)
+    least = hashes[: len(hashes) - window + 1]
+    for j in range(1, window):
+        least = np.minimum(least, hashes[j : j + len(least)])
+    return np.unique(least).view(np.int64)
+
 
-    def one(value: str | None) -> np.ndarray:
-        hashes = _runs(value, size)
-        if len(hashes) < window:
-            return np.zeros(0, dtype=np.int64)
-        least = hashes[: len(hashes) - window + 1]
-        for j in range(1, window):
-            least = np.minimum(least, hashes[j : j + len(least)])
-        return np.unique(least).view(np.int64)
+def _keyed(df: DataFrame, item: str, hashes: Callable[[str | None], np.ndarray]) -> DataFrame:
+    """(item, key): the hashes of every ``form``, given out after some texts, so a task holds few beside its batch."""
 
-    @F.pandas_udf("array<bigint>")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(one)
+    def run(batches):
+        for batch in batches:
+            ids, found, held = [], [], 0
+            for i, value in enumerate(batch.column("form")):
+                found.append(hashes(value.as_py()))
+                ids.append(np.full(len(found[-1]), i))
+                held += len(found[-1])
+                if held >= HELD or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(item).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(found))], names=[item, "key"])
+                    ids, found, held = [], [], 0
 
-    return run(text)
+    kind = df.schema[item].dataType.simpleString()
+    return df.select(item, "form").mapInArrow(run, f"{item} {kind}, key long")
 
 
-def runs(text: Column, *sizes: int) -> Column:
-    """Hashes of all runs of the given sizes, each once."""
+def anchored(df: DataFrame, item: str, size: int = SIZE, window: int = WINDOW) -> DataFrame:
+    return _keyed(df, item, lambda v: _anchors(v, size, window))
 
-    @F.pandas_udf("array<bigint>")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: np.unique(np.concatenate([_runs(v, s) for s in sizes])).view(np.int64))
 
-    return run(text)
+def cut_up(df: DataFrame, item: str, *sizes: int) -> DataFrame:
+    """(item, key): hashes of all runs of the given sizes, each once."""
+    return _keyed(df, item, lambda v: np.unique(np.concatenate([_runs(v, s) for s in sizes])).view(np.int64))
 
 
-def _candidates(passages: DataFrame, texts: DataFrame) -> DataFrame:
-    """(item_id, doc_id) of texts that hold the rarest key of a passage; both sides have a column ``keys``."""
-    asked = passages.select("item_id", F.explode("keys").alias("key"))
-    held = texts.select("doc_id", F.explode("keys").alias("key")).join(asked.select("key").distinct(), "key")
-    held = cut(held)
+def _candidates(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of texts that hold the rarest key of a passage, from (item_id, key) and (doc_id, key)."""
+    asked = cut(asked)
+    held = cut(texts.join(asked.select("key").distinct(), "key"))
     spread = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     rarest = asked.join(spread, "key", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "key")).alias("r"))
     return rarest.select("item_id", F.col("r.key").alias("key")).join(held, "key").select("item_id", "doc_id").distinct()
@@ -90,14 +102,17 @@ def passages_in_texts(passages: DataFrame, texts: DataFrame, size: int = SIZE, w
     form = match_normalize(F.col("text"))
     chars = F.length("form")
     least = size + window - 1
-    found = _candidates(quoted.filter(chars >= least).select("item_id", anchors(F.col("form"), size, window).alias("keys")), kept.select("doc_id", anchors(form, size, window).alias("keys")))
+    forms = kept.select("doc_id", form.alias("form"))
+    found = _candidates(anchored(quoted.filter(chars >= least), "item_id", size, window), anchored(forms, "doc_id", size, window))
     short = quoted.filter((chars < least) & (chars >= SHORT))
     if not short.isEmpty():
-        found = found.unionByName(_candidates(short.select("item_id", runs(F.col("form"), SHORT).alias("keys")), kept.select("doc_id", runs(form, SHORT).alias("keys"))))
+        found = found.unionByName(_candidates(cut_up(short, "item_id", SHORT), cut_up(forms, "doc_id", SHORT)))
     tiny = quoted.filter(chars < SHORT)
     if not tiny.isEmpty():
         # the longest runs of up to three characters that the passage has; exact matches only
-        own = F.when(F.length("q") >= 3, runs(F.col("q"), 3)).when(F.length("q") == 2, runs(F.col("q"), 2)).otherwise(runs(F.col("q"), 1))
-        found = found.unionByName(_candidates(tiny.select("item_id", own.alias("keys")), kept.select("doc_id", runs(F.col("text"), 1, 2, 3).alias("keys"))))
+        own = tiny.select("item_id", F.col("q").alias("form"))
+        n = F.length("form")
+        asked = cut_up(own.filter(n >= 3), "item_id", 3).unionByName(cut_up(own.filter(n == 2), "item_id", 2)).unionByName(cut_up(own.filter(n < 2), "item_id", 1))
+        found = found.unionByName(_candidates(asked, cut_up(kept.select("doc_id", F.col("text").alias("form")), "doc_id", 1, 2, 3)))
     pairs = found.join(quoted.select("item_id", "quote"), "item_id").join(kept, "doc_id")
     return locate(pairs).filter("ok").select("item_id", "doc_id", "method", "char_start", "char_end")

@@ -30,3 +30,14 @@ def test_runs_are_told_apart():
     text = "".join(chr(random.Random(1).randrange(97, 123)) for _ in range(5000))
     runs = {text[i : i + 8] for i in range(len(text) - 7)}
     assert len(set(_runs(text, 8).tolist())) == len(runs)
+
+
+def test_hashes_are_given_out_in_parts(spark):
+    """A task never gathers the hashes of a whole batch of texts: they leave as rows, not as lists of a column."""
+    from claimweave.operators.passages import _anchors, anchored
+
+    rows = [(i, f"{i} some words of text number {i * 7919}") for i in range(50)] + [(99, None), (None, "x" * 40)]
+    df = anchored(spark.createDataFrame(rows, "doc_id int, form string"), "doc_id")
+    want = {(i, k) for i, v in rows for k in _anchors(v, 8, 9).tolist()}
+    assert {tuple(r) for r in df.collect()} == want
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().toString()
