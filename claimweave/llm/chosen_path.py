@@ -10,7 +10,8 @@
    against one class of it), which finds groups of copies with about one pair a class. Links are
    confirmed on the full sets; linked classes get a common root.
 4. More independent trees then look only at nodes that hold several roots, at their pairs of different
-   roots: first a few between a class and another root, then all that are still needed. A node that
+   roots: first those that span a node (fewer than it has roots), then a few between a class and another
+   root, then all that are still needed. A node that
    stays large is compared in blocks: what isn't in its commonest root, a block at a time, against chunks
    of the whole node, so no task holds more than a block and a chunk.
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from claimweave.checkpoints import new_folder
 from claimweave.llm.batches import text_slices, texts_of
 from claimweave.llm.components import components
-from claimweave.llm.exact_sets import PASSES, blocks, exact_sets, few_per_root, set_hash, similar
+from claimweave.llm.exact_sets import PASSES, SPAN, blocks, exact_sets, named, set_hash, similar
 from claimweave.llm.shingles import mix, shingle_sets
 
 COORDINATES = 64
@@ -173,7 +174,7 @@ def _compare(percent: int, forest: bool, most: int | None):
         if not forest:
             for u in range(len(cls) - 1):
                 pool = np.arange(u + 1, len(cls))
-                near = few_per_root(_near(n, bits, u, pool[root[pool] != root[u]], percent), cls, root, most)
+                near = named(_near(n, bits, u, pool[root[pool] != root[u]], percent), u, cls, root, most)
                 out_a.append(np.full(len(near), cls[u]))
                 out_b.append(cls[near])
             return out_a, out_b
@@ -260,6 +261,7 @@ class Join:
         members = self.rooted(roots).select("tokens", "cls", "root").mapInArrow(_roots_of(trees), MEMBER)
         small, large = None, None
         for level in range(trees.depth):
+            members = self.stored(members, "members")  # read twice: counted, and joined with the counts
             sizes = members.groupBy("node").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high"))
             sizes = sizes.filter("many > 1 and low <> high").select("node", "many")
             live = self.stored(members.join(sizes, "node"), "nodes")
@@ -308,7 +310,9 @@ class Join:
         links = self.confirmed(self.stored(self.wide(tested), "allowed"))
         roots = self.stored(components(links), "roots")
         leaves = self.leaves(WHOLE, roots)
-        for most in PASSES:
+        # one class of a large node is like few of its others, so most roots there are still apart: pairs that span
+        # the nodes join them, before any pass that may name several pairs of two roots
+        for most in (SPAN, *PASSES):
             more = self.stored(self.candidates(*leaves, roots, most).join(tested, ["a", "b"], "left_anti"), "more")
             if not more.isEmpty():
                 found = self.confirmed(self.stored(self.wide(more), "allowed"))

@@ -67,6 +67,8 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 #: How many pairs a task names between a class and each other root, pass by pass; the last names all that are left.
 PASSES = (4, None)
+#: In place of that number: pairs that span what a task finds, fewer than it has roots.
+SPAN = 0
 
 
 def few_per_root(found: np.ndarray, cls: np.ndarray, root: np.ndarray, most: int | None) -> np.ndarray:
@@ -80,6 +82,16 @@ def few_per_root(found: np.ndarray, cls: np.ndarray, root: np.ndarray, most: int
     return found[place - np.maximum.accumulate(np.where(opens, place, 0)) < most]
 
 
+def named(found: np.ndarray, u: int, cls: np.ndarray, home: np.ndarray, most: int | None) -> np.ndarray:
+    """Those of the found that are named with u; a pass that spans gives them and all of their homes the home of u."""
+    if most != SPAN:
+        return few_per_root(found, cls, home, most)
+    found = few_per_root(found, cls, home, 1)
+    if len(found):
+        home[np.isin(home, home[found])] = home[u]
+    return found
+
+
 def block_pairs(near: Callable, percent: int, bits: list[str], most: int | None):
     """One task's block (other = 1) and chunk in; pairs of different roots that may be similar out.
 
@@ -95,7 +107,7 @@ def block_pairs(near: Callable, percent: int, bits: list[str], most: int | None)
         other = table.column("other").to_numpy() == 1
         chunk, a, b = np.flatnonzero(~other), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for u in np.flatnonzero(other).tolist():
-            found = few_per_root(near(n, words, u, chunk[root[chunk] != root[u]], percent), cls, root, most)
+            found = named(near(n, words, u, chunk[root[chunk] != root[u]], percent), u, cls, root, most)
             a.append(np.full(len(found), cls[u]))
             b.append(cls[found])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -109,7 +121,7 @@ def blocks(large: DataFrame, key: str, bits: list[str], near: Callable, percent:
 
     What isn't in a group's commonest root meets all of the group, a block by as large a chunk in a task.
     Between one class and one other root a task names ``most`` pairs: once one of them links the two, the
-    others are not needed; callers go through PASSES.
+    others are not needed; callers go through PASSES. With SPAN a task names no more pairs than it has rows.
     ``large``: (key, cls, root, n, bitmap columns, many), many being the rows of the group.
     """
     counts = large.groupBy(key, "root", "many").agg(F.count("*").alias("rows"))

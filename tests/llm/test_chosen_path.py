@@ -41,6 +41,31 @@ def test_large_group(spark, monkeypatch, edits):
     assert got == brute(rows, 3, 85)
 
 
+def test_pairs_after_the_forest_grow_with_the_group(spark, monkeypatch):
+    """In a group of near copies of which few are linked with one of them, later trees name no share of all pairs."""
+    monkeypatch.setattr(chosen_path, "SMALL", 8)
+    monkeypatch.setattr(chosen_path, "FOREST", chosen_path.Trees(0, 1, 1))
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for at in rnd.sample(range(200), rnd.randrange(1, 9)):
+            words[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    named, stored = [], chosen_path.Join.stored
+
+    def counted(self, df, name):
+        out = stored(self, df, name)
+        if name == "more":
+            named.append(out.count())
+        return out
+
+    monkeypatch.setattr(chosen_path.Join, "stored", counted)
+    assert rows_of(chosen_path.dedup(spark.createDataFrame(rows, SCHEMA))) == brute(rows, 3, 85)
+    assert named[0] < len(rows)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     assert rows_of(chosen_path.dedup(odd_docs)) == brute(rows, 3, 85)
