@@ -120,5 +120,5 @@ def incremental_refresh(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", F.col("lang").alias("project_id"), "text", "n_chars")
     out, _, offsets = folders(t, "index")
     index = TextIndex(t.spark)
-    arrive(t, docs, "n_chars", [800, 2000], lambda s: ST.index_refresh(s, index, "doc_id", offsets), None)
+    arrive(t, docs, "n_chars", [800, 2000], lambda s: ST.index_refresh(s, index, "doc_id", offsets, with_grams=False), None)
     return index.uses().groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_uses"))

@@ -165,11 +165,11 @@ def change_step() -> Step:
     return step
 
 
-def index_refresh(stream: DataFrame, index: TextIndex, item: str, checkpoint: str, text: str = "text") -> StreamingQuery:
-    """Append new texts to the index that searches read; a replayed batch counts once."""
+def index_refresh(stream: DataFrame, index: TextIndex, item: str, checkpoint: str, text: str = "text", with_grams: bool = True) -> StreamingQuery:
+    """Append new texts to the index that searches read; a replayed batch counts once. Without grams it answers by terms only."""
 
     def save(batch: DataFrame, number: int) -> None:
-        index.append(batch.withColumn("claim_id", F.col(item)), item, text, batch=str(number))
+        index.append(batch.withColumn("claim_id", F.col(item)), item, text, with_grams, batch=str(number))
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
