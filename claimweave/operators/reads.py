@@ -21,44 +21,54 @@ def is_trusted() -> Column:
     return F.col("review_state").isin(TRUSTED_STATES) & F.col("confidence_band").isin("verified", "likely")
 
 
-def provenance(claim_evidence: DataFrame, evidence: DataFrame, sources: DataFrame, snapshots: DataFrame, documents: DataFrame) -> DataFrame:
-    """claim -> evidence -> snapshot -> document -> source, one row per link."""
-    return (
-        claim_evidence.join(evidence, "evidence_id")
-        .join(sources.select("source_id", F.col("name").alias("source_name"), "source_type", "owner_key", "authority_prior"), "source_id")
-        .join(snapshots.select("snapshot_id", "document_id", "fetched_at", "content_hash"), "snapshot_id")
-        .join(documents.select("document_id", F.col("title").alias("document_title")), "document_id")
+def origins(evidence: DataFrame, sources: DataFrame, snapshots: DataFrame, documents: DataFrame) -> DataFrame:
+    """evidence -> snapshot -> document -> source, one row per piece of evidence.
+
+    Snapshots, which are fewer than the evidence, meet their documents first, so evidence moves once for both.
+    """
+    taken = snapshots.select("snapshot_id", "document_id", "fetched_at", "content_hash").join(
+        documents.select("document_id", F.col("title").alias("document_title")), "document_id"
     )
+    named = sources.select("source_id", F.col("name").alias("source_name"), "source_type", "owner_key", "authority_prior")
+    return evidence.join(named, "source_id").join(taken, "snapshot_id")
 
 
-def claim_detail(claims: DataFrame, chain: DataFrame, conflicts: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Everything known about each claim as tagged rows: evidence, conflicts and revisions."""
+def provenance(claim_evidence: DataFrame, evidence: DataFrame, sources: DataFrame, snapshots: DataFrame, documents: DataFrame) -> DataFrame:
+    """claim -> evidence -> snapshot -> document -> source, one row per link; links meet the finished rows of their evidence."""
+    return claim_evidence.join(origins(evidence, sources, snapshots, documents), "evidence_id")
+
+
+def claim_detail(claims: DataFrame, told: DataFrame, claim_evidence: DataFrame, conflicts: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Everything known about each claim as tagged rows: evidence (``told``, from ``origins``), conflicts and revisions."""
     have = claims.select("claim_id")
-    ev = chain.select(
+    # claims decide while rows are narrow: on links, and on conflicts before these become a row for each side
+    links = claim_evidence.select("claim_id", "evidence_id", "stance", "directness").join(have, "claim_id", "left_semi")
+    ev = links.join(told.select("evidence_id", "source_name", "document_title", "quote"), "evidence_id").select(
         "claim_id", F.lit("evidence").alias("part"), F.col("evidence_id").cast("string").alias("item_id"),
         F.concat_ws("|", "stance", "directness", "source_name", "document_title", "quote").alias("payload"),
     )
-    sides = conflicts.select(F.explode(F.array("claim_a", "claim_b")).alias("claim_id"), "conflict_id", "claim_a", "claim_b", "status")
     texts = claims.select("claim_id", "text")
-    sides = sides.join(texts.select(F.col("claim_id").alias("claim_a"), F.col("text").alias("text_a")), "claim_a").join(
-        texts.select(F.col("claim_id").alias("claim_b"), F.col("text").alias("text_b")), "claim_b"
-    )
-    cf = sides.select(
-        "claim_id", F.lit("conflict").alias("part"), F.col("conflict_id").cast("string").alias("item_id"),
+    both = conflicts.select("conflict_id", "claim_a", "claim_b", "status").join(
+        texts.select(F.col("claim_id").alias("claim_a"), F.col("text").alias("text_a")), "claim_a"
+    ).join(texts.select(F.col("claim_id").alias("claim_b"), F.col("text").alias("text_b")), "claim_b")
+    # a conflict whose sides both have a text is a conflict of known claims
+    cf = both.select(
+        F.explode(F.array("claim_a", "claim_b")).alias("claim_id"), F.lit("conflict").alias("part"), F.col("conflict_id").cast("string").alias("item_id"),
         F.concat_ws("|", "status", "text_a", "text_b").alias("payload"),
     )
     rv = revisions.select(
         "claim_id", F.lit("revision").alias("part"), F.col("revision_id").cast("string").alias("item_id"),
         F.concat_ws("|", "action", "actor").alias("payload"),
     )
-    return ev.unionByName(cf).unionByName(rv).join(have, "claim_id", "left_semi")
+    return ev.unionByName(cf).unionByName(rv.join(have, "claim_id", "left_semi"))
 
 
-def evidence_detail(evidence: DataFrame, chain: DataFrame, claims: DataFrame) -> DataFrame:
-    """Evidence with its source chain, one row per claim that uses it (claim columns NULL when unused)."""
-    used = chain.select("evidence_id", "claim_id", "stance", "source_name", "document_title", "fetched_at").join(
+def evidence_detail(told: DataFrame, evidence: DataFrame, claim_evidence: DataFrame, claims: DataFrame) -> DataFrame:
+    """Evidence with its source chain (``told``, from ``origins``), one row per claim that uses it (claim columns NULL when unused)."""
+    links = claim_evidence.select("claim_id", "evidence_id", "stance").join(
         claims.select("claim_id", F.col("text").alias("claim_text"), "confidence_band"), "claim_id", "left"
     )
+    used = links.join(told.select("evidence_id", "source_name", "document_title", "fetched_at"), "evidence_id")
     return evidence.select("evidence_id", "quote").join(used, "evidence_id", "left")
 
 

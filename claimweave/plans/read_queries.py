@@ -57,8 +57,8 @@ FROM {orders}
 TRUST = "review_state IN ('auto_accepted', 'approved') AND confidence_band IN ('verified', 'likely')"
 
 
-def chain(t: Tables) -> DataFrame:
-    return R.provenance(t.claim_evidence, t.evidence, t.sources, t.snapshots, t.docs)
+def told(t: Tables) -> DataFrame:
+    return R.origins(t.evidence, t.sources, t.snapshots, t.docs)
 
 
 BIND["x_chain"] = """
@@ -77,7 +77,7 @@ JOIN {snapshots} sn ON sn.snapshot_id = e.snapshot_id JOIN {docs} d ON d.documen
  UNION ALL SELECT claim_id, 'revision', CAST(revision_id AS VARCHAR), action || '|' || actor FROM {revisions} WHERE claim_id IN (SELECT claim_id FROM {stored_claims})""",
 )
 def claim_detail(t: Tables) -> DataFrame:
-    return R.claim_detail(t.stored_claims, chain(t), t.conflicts, t.revisions)
+    return R.claim_detail(t.stored_claims, told(t), t.claim_evidence, t.conflicts, t.revisions)
 
 
 @query(
@@ -85,7 +85,7 @@ def claim_detail(t: Tables) -> DataFrame:
     "SELECT e.evidence_id, e.quote, x.claim_id, x.stance, x.source_name, x.title AS document_title, c.text AS claim_text, c.confidence_band FROM {evidence} e LEFT JOIN {x_chain} x ON x.evidence_id = e.evidence_id LEFT JOIN {stored_claims} c ON c.claim_id = x.claim_id",
 )
 def evidence_detail(t: Tables) -> DataFrame:
-    return R.evidence_detail(t.evidence, chain(t), t.stored_claims).drop("fetched_at")
+    return R.evidence_detail(told(t), t.evidence, t.claim_evidence, t.stored_claims).drop("fetched_at")
 
 
 @query(
