@@ -137,6 +137,19 @@ def test_creatives_of_one_project_are_dealt_over_many_tasks(spark):
             spark.conf.set(k, v)
 
 
+def test_creatives_of_any_length_and_without_a_project(spark, monkeypatch):
+    """A parser's limit on strings, or a variant's on size, must not take a payload away."""
+    item = F.struct(F.col("id"), F.concat(F.lit("red "), F.repeat(F.lit("x"), F.col("n"))).alias("analysis"))
+    sizes = spark.createDataFrame([(1, 5, "p"), (2, 21_000_000, "p"), (3, 5, None)], "id long, n int, project_id string")
+    payloads = sizes.select("project_id", F.to_json(F.struct(F.array(item, F.lit(None), item).alias("items"))).alias("payload"))
+    terms = spark.createDataFrame([("p", ["red"]), (None, ["RED"])], "project_id string, terms array<string>")
+    want = [("1", "p", 5), ("2", "p", 21_000_000), ("3", None, 5)]
+    for large in (PL.LARGE_PAYLOAD, 30_000_000, 0):  # whole payloads, by objects where large, always by objects
+        monkeypatch.setattr(PL, "LARGE_PAYLOAD", large)
+        got = PL.creative_rows(payloads, "payload", terms).select("creative_key", "project_id", (F.length("text") - F.length(F.lit("\n=== 创意拆解 ===\nred "))).alias("n"))
+        assert sorted(map(tuple, got.collect())) == want
+
+
 def test_raw_payload_sink(spark, tmp_path):
     path = str(tmp_path / "snaps")
     df = spark.createDataFrame([(1, "p", "t", '{"a":1}'), (2, "q", "u", "{bad")], "snapshot_id long, project_id string, text string, raw_json string")
